@@ -60,5 +60,5 @@ def candidates(index: Index, pattern: PatternGrams) -> DataFrame:
     scored = scored_candidates(
         found.select("row_id", share.alias("term")), ["row_id"], F.lit(len(grams))
     )
-    scored = scored.select("row_id", block("row_id").alias("block"), "score")
+    scored = scored.select("row_id", block("row_id"), "score")
     return F.broadcast(scored) if pattern.bound <= BROADCAST_ROWS else scored

@@ -57,23 +57,23 @@ def assign_ids(new: DataFrame, start: int, key: str = "path", column: str = "id"
     )
 
 
-def shared_ids(pages: DataFrame, hot: int = HOT_NAME) -> DataFrame:
-    """``(path, id)``: every page with the lowest id of its name."""
+def first_pages(pages: DataFrame, hot: int = HOT_NAME) -> DataFrame:
+    """``(path, id, description)``: for every page the first page of its name, by id."""
     per_name = pages.groupBy("name").agg(
-        F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct("id", "description")).alias("first"), F.count(F.lit(1)).alias("n")
     )
     slim = pages.select("path", "name")
-    frequent = F.broadcast(per_name.where(F.col("n") > hot).select("name", "first_id"))
-    other = per_name.where(F.col("n") <= hot).select("name", "first_id")
+    frequent = F.broadcast(per_name.where(F.col("n") > hot))
+    other = per_name.where(F.col("n") <= hot)
     joined = slim.join(frequent, "name").unionByName(
         slim.join(frequent, "name", "left_anti").join(other, "name")
     )
-    return joined.select("path", F.col("first_id").alias("id"))
+    return joined.select("path", "first.id", "first.description")
 
 
 def text_rows(pages: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(path, id, name, content)``: texts under the id of the first page of their name."""
-    return texts.join(shared_ids(pages), "path").select("path", "id", "name", "content")
+    """Texts ``(path, name, content)`` under id and description of their name's first page."""
+    return texts.join(first_pages(pages), "path")
 
 
 def lookup_id(page: DataFrame, names: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ SCAN_PATTERNS = 64
 SALTS = 32
 
 GLOBS = "query_id long, needle string, regex string, grams array<string>"
-HITS = "query_id long, row_id long, id long, name string, pass int, score double"
+HITS = "query_id long, row_id long, id long, name string, description string, pass int, score double"
 
 
 def _compile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +101,7 @@ def pair_candidates(index: Index, weighed: DataFrame, n_queries: int) -> DataFra
         copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt")
         joined = posted.select("*", salt).join(seeds.select("*", copies), ["gram", "bucket", "salt"])
-    return joined.select("query_id", "row_id", block("row_id").alias("block"))
+    return joined.select("query_id", "row_id", block("row_id"))
 
 
 def _score(terms: Column, name: Column, content: Column, average: float) -> Column:
@@ -138,14 +138,14 @@ def indexed_hits(index: Index, queries: DataFrame) -> DataFrame:
         pairs = F.broadcast(pairs)
     if n_queries <= BROADCAST_ROWS:
         details = F.broadcast(details)
-    texts = index.fts.select("row_id", "block", "id", "name", "content")
+    texts = index.fts.select("row_id", "block", "id", "name", "description", "content")
     rows = texts.join(pairs, ["row_id", "block"]).join(details, "query_id")
     name, content = F.col("name"), F.col("content")
     test = [matches(col, F.col("needle"), F.col("regex")) for col in (name, content)]
     tested = rows.withColumn("passes", passes(*test)).where(F.size("passes") > 0)
     scored = tested.withColumn("score", _score(F.col("terms"), name, content, index.average))
-    found = F.explode("passes").alias("pass")
-    return scored.select("query_id", "row_id", "id", "name", found, "score")
+    found = F.explode_outer("passes").alias("pass")
+    return scored.select("query_id", "row_id", "id", "name", "description", found, "score")
 
 
 def scanned_hits(index: Index, queries: DataFrame) -> DataFrame:
@@ -173,11 +173,12 @@ def scanned_hits(index: Index, queries: DataFrame) -> DataFrame:
                 entries.append(F.when(hit, entry))
         if entries:
             found = F.explode(F.array_compact(F.array(*entries))).alias("hit")
-            scans.append(index.fts.select("row_id", "id", "name", found))
+            scans.append(index.fts.select("row_id", "id", "name", "description", found))
     if not scans:
         return spark.createDataFrame([], HITS)
     union = reduce(DataFrame.unionByName, scans)
-    return union.select("hit.query_id", "row_id", "id", "name", "hit.pass", F.lit(0.0).alias("score"))
+    zero = F.lit(0.0).alias("score")
+    return union.select("hit.query_id", "row_id", "id", "name", "description", "hit.pass", zero)
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = LIMIT) -> DataFrame:
@@ -187,4 +188,4 @@ def search_batch(index: Index, queries: DataFrame, k: int = LIMIT) -> DataFrame:
     ranking is shuffled by query.
     """
     hits = indexed_hits(index, queries).unionByName(scanned_hits(index, queries))
-    return two_blocks(hits, index, k, ["query_id"])
+    return two_blocks(hits, k, ["query_id"])

@@ -13,8 +13,9 @@ from leafscan.functions.text import (
     until_nul,
 )
 from leafscan.operators.grams import bucket, gram_count, gram_df, postings
-from leafscan.operators.pages import assign_ids, shared_ids
+from leafscan.operators.pages import assign_ids, first_pages
 from leafscan.schemas import COMMITS
+from leafscan.session import spread
 from leafscan.sources.files import decode_all, discover
 from leafscan.sources.tables import (
     Index,
@@ -49,7 +50,7 @@ def build(
     directory: str,
     faithful: bool = False,
     derive: bool = False,
-    codec: str = "gzip",
+    codec: str = "zstd",
 ) -> Index:
     """Read all page files under the roots into the catalogue; may be run again.
 
@@ -65,7 +66,7 @@ def ingest_files(
     directory: str,
     faithful: bool = False,
     derive: bool = False,
-    codec: str = "gzip",
+    codec: str = "zstd",
 ) -> Index:
     """Decode files that are new to the catalogue and add them."""
     index = load_index(spark, directory)
@@ -80,7 +81,7 @@ def ingest_texts(
     directory: str,
     faithful: bool = False,
     derive: bool = False,
-    codec: str = "gzip",
+    codec: str = "zstd",
 ) -> Index:
     """Add decoded pages ``(path, raw)``, with unique paths, as one batch.
 
@@ -106,6 +107,9 @@ def ingest_texts(
         F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("raw_bytes"),
         F.count_if(F.col("n_bytes").isNull()).alias("n_dropped"),
     ).first()
+    if not totals["n_rows"]:
+        drop_path(spark, staged_path)
+        return index
 
     # rows keep no content until the ids are known
     slim = good.select("path", "name", "description", "section", "last_modified")
@@ -119,23 +123,25 @@ def ingest_texts(
         pages = pages.drop("row_id")
         n_pages = totals["n_rows"]
     pages = pages.select("id", "name", "description", "section", "path", "last_modified")
-    write_batch(pages.withColumn("block", block("id")), directory, "page", batch, codec)
+    write_batch(pages.select("*", block("id")), directory, "page", batch, codec)
 
     # names of this batch may have their first page in an earlier one
-    named = pages.select("path", "name", "id")
+    named = pages.select("path", "name", "id", "description")
     if index.n_pages:
-        known = index.page.select("path", "name", "id")
+        known = index.page.select("path", "name", "id", "description")
         named = named.unionByName(known.join(rows.select("name").distinct(), "name", "left_semi"))
-    keys = rows.select("path", "row_id").join(shared_ids(named), "path")
+    keys = rows.select("path", "row_id").join(first_pages(named), "path")
     texts = good.select("path", "name", "content").join(keys, "path")
-    texts = texts.select("row_id", "id", "name", "content").withColumn("block", block("row_id"))
+    texts = texts.select("row_id", "id", "name", "description", "content", block("row_id"))
     write_batch(texts, directory, "fts", batch, codec)
 
-    written = spark.read.parquet(f"{table_path(directory, 'fts')}/batch={batch}")
-    posted = postings(written).withColumn("bucket", bucket(F.col("gram")))
+    def written(table: str) -> DataFrame:
+        return spark.read.parquet(f"{table_path(directory, table)}/batch={batch}")
+
+    texts = spread(written("fts").select("row_id", "name", "content"), "row_id")
+    posted = postings(texts).withColumn("bucket", bucket(F.col("gram")))
     write_batch(posted, directory, "postings", batch, codec)
-    posted = spark.read.parquet(f"{table_path(directory, 'postings')}/batch={batch}")
-    write_batch(gram_df(posted), directory, "gram_df", batch, codec)
+    write_batch(gram_df(written("postings")), directory, "gram_df", batch, codec)
 
     commit = (
         n_pages,

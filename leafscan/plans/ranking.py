@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafscan.sources.tables import Index, block
-
 
 def by_rank() -> list[Column]:
     """Best score first; ties by page id, then by text row."""
@@ -18,22 +16,17 @@ def passes(name_hit: Column, content_hit: Column) -> Column:
     return F.array_compact(F.array(F.when(name_hit, 0), F.when(content_hit, 1)))
 
 
-def two_blocks(hits: DataFrame, index: Index, k: int, query: list[str]) -> DataFrame:
+def two_blocks(hits: DataFrame, k: int, query: list[str]) -> DataFrame:
     """Best k hits of each pass; names shown in the first leave the second afterwards.
 
-    ``hits`` holds the query columns, ``row_id, id, name, pass, score``. Each task keeps
-    its own best k before anything is shuffled, so a query may hit any share of the rows.
-    Every text row has a page, so descriptions are joined to the few rows left at the end
-    and the page table's other blocks are pruned.
+    ``hits`` holds the query columns and ``row_id, id, name, description, pass, score``.
+    Each task keeps its own best k before anything is shuffled, so a query may hit any
+    share of the rows; behind the first window there are at most 2k rows for each query.
     """
     group = Window.partitionBy(*query, "pass").orderBy(*by_rank())
     place = F.row_number().over(group)
     best = hits.withColumn("rank", place).where(F.col("rank") <= k)
-    shown_by_name = F.min("pass").over(Window.partitionBy(*query, "name")) == 0
-    kept = best.withColumn("shown", shown_by_name).where((F.col("pass") == 0) | ~F.col("shown"))
-    ranked = kept.withColumn("rank", place).withColumn("block", block("id"))
-    if not query:
-        ranked = F.broadcast(ranked)  # at most 2k rows
-    pages = index.page.select("id", "block", "description")
+    first_pass = F.min("pass").over(Window.partitionBy(*query, "name"))
+    kept = best.withColumn("first_pass", first_pass).where(F.col("pass") == F.col("first_pass"))
     columns = [*query, "name", "description", "pass", "rank", "score"]
-    return pages.join(ranked, ["id", "block"]).select(*columns)
+    return kept.withColumn("rank", place).select(*columns)

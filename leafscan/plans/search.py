@@ -44,16 +44,16 @@ def search(
                 return index.spark.createDataFrame([], RESULT)
             scores = candidates(index, found)
 
-    texts = index.fts.select("row_id", "block", "id", "name", "content")
-    found = passes(test(F.col("name")), test(F.col("content")))
-    rows = texts.where(test(F.col("name")) | test(F.col("content"))).withColumn("passes", found)
     # the tests run in the scan: what is joined and shuffled carries no contents
-    hits = rows.select("row_id", "block", "id", "name", F.explode("passes").alias("pass"))
+    name, content = F.col("name"), F.col("content")
+    found = F.explode_outer(passes(test(name), test(content))).alias("pass")
+    rows = index.fts.where(test(name) | test(content))
+    hits = rows.select("row_id", "block", "id", "name", "description", found)
     if scores is None:
         hits = hits.withColumn("score", F.lit(0.0))
     else:
         hits = hits.join(scores, ["row_id", "block"])
-    result = two_blocks(hits, index, k, [])
+    result = two_blocks(hits, k, [])
     return result.orderBy("pass", "rank") if ordered else result
 
 

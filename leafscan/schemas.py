@@ -14,7 +14,9 @@ L, I, S = T.LongType(), T.IntegerType(), T.StringType()
 PAGE = _schema(
     ("id", L), ("name", S), ("description", S), ("section", I), ("path", S), ("last_modified", L)
 )
-FTS = _schema(("row_id", L), ("id", L), ("name", S), ("content", S))
+# A text row carries its page's description: pages never change once inserted, so the
+# join of the two tables is done once, when the row is written, and not in each search.
+FTS = _schema(("row_id", L), ("id", L), ("name", S), ("description", S), ("content", S))
 POSTINGS = _schema(("gram", S), ("row_id", L), ("tf", L), ("n_grams", L))
 GRAM_DF = _schema(("gram", S), ("df", L))
 # One row per finished ingest. It is written last, so it is also the commit mark.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job on many small page files wants. Python workers get batches bounded
 # in rows, and a task reads hundreds of small files instead of thirty.
@@ -32,3 +32,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared)
     return shared
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """At least a partition for each core; only a scan of few files is redistributed."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
