@@ -26,7 +26,7 @@ ENTITIES = (
     ("&quot;", '"'),
     ("&#39;", "'"),
     ("&apos;", "'"),
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&amp;", "&"),
 )
 
