@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafscan.functions.text import fold
+from leafscan.operators.grams import gram_count
+
 # The usual parameters, and the floor for grams in over half of the rows.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 # Terms are summed as whole multiples of 1/SCALE. Integer sums come out the same in
@@ -45,3 +48,23 @@ def scored_candidates(found: DataFrame, keys: list[str], n_distinct: Column) ->
         F.count(F.lit(1)).alias("present"), total("term").alias("score")
     )
     return counted.where(F.col("present") == n_distinct).drop("present")
+
+
+def score_in_place(terms: Column, name: Column, content: Column, average: float) -> Column:
+    """BM25 of one row for one query's terms, counted in the row's own text."""
+    # the texts are folded once and bound by the outer lambda, not once for each gram
+    folded = F.array(F.struct(fold(name).alias("name"), fold(content).alias("content")))
+    length = gram_count(name, content)
+
+    def occurrences(text: Column, gram: Column) -> Column:
+        return F.regexp_count(text, F.concat(F.lit("(?s)(?=\\Q"), gram, F.lit("\\E)")))
+
+    def add(text: Column, total: Column, entry: Column) -> Column:
+        tf = occurrences(text["name"], entry["gram"]) + occurrences(text["content"], entry["gram"])
+        return total + term(entry["weight"], tf, length, average)
+
+    def score(text: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.aggregate(terms, zero, lambda total, entry: add(text, total, entry))
+
+    return -(F.transform(folded, score)[0] / F.lit(SCALE))

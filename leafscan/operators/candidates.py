@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafscan.operators.bm25 import idf, scored_candidates, term
 from leafscan.operators.grams import bucket
 from leafscan.sources.tables import Index, block
 
-# Candidate rows are 24 bytes each; up to this many are broadcast to the text table.
-BROADCAST_ROWS = 500_000
+# Up to this many candidate rows are broadcast to the text table, at ROW_BYTES each.
+BROADCAST_ROWS, ROW_BYTES = 500_000, 64
 
 
 @dataclass(frozen=True)
@@ -40,25 +40,31 @@ def look_up(index: Index, grams: list[str]) -> PatternGrams:
     return PatternGrams(repeats, {row["gram"]: row["df"] for row in rows}, buckets)
 
 
+def weights(index: Index, pattern: PatternGrams) -> list[tuple[str, float]]:
+    """Each gram of the pattern with its idf times its repeats."""
+    n = index.n_rows
+    return [(gram, count * idf(n, pattern.df[gram])) for gram, count in pattern.repeats.items()]
+
+
 def candidates(index: Index, pattern: PatternGrams) -> DataFrame:
     """``(row_id, block, score)`` of every row that holds all grams of the pattern."""
-    spark, grams = index.spark, list(pattern.repeats)
-    weights = [
-        (gram, count * idf(index.n_rows, pattern.df[gram]))
-        for gram, count in pattern.repeats.items()
-        if gram in pattern.df
-    ]
-    if len(weights) < len(grams):
-        return spark.createDataFrame([], "row_id long, block long, score double")
-    weighed = F.broadcast(spark.createDataFrame(weights, "gram string, weight double"))
+    if not pattern.bound:
+        return index.spark.createDataFrame([], "row_id long, block long, score double")
+    weighed = index.spark.createDataFrame(weights(index, pattern), "gram string, weight double")
     # both filters reach the scan: one prunes folders, the other row groups
-    stored = index.postings.where(
-        F.col("bucket").isin(pattern.buckets) & F.col("gram").isin(grams)
-    )
-    found = stored.join(weighed, "gram")
+    wanted = F.col("bucket").isin(pattern.buckets) & F.col("gram").isin(list(pattern.repeats))
+    found = index.postings.where(wanted).join(F.broadcast(weighed), "gram")
     share = term(F.col("weight"), F.col("tf"), F.col("n_grams"), index.average)
     scored = scored_candidates(
-        found.select("row_id", share.alias("term")), ["row_id"], F.lit(len(grams))
+        found.select("row_id", share.alias("term")), ["row_id"], F.lit(len(pattern.repeats))
     )
-    scored = scored.select("row_id", block("row_id"), "score")
-    return F.broadcast(scored) if pattern.bound <= BROADCAST_ROWS else scored
+    return scored.select("row_id", block("row_id"), "score")
+
+
+def literal_terms(index: Index, pattern: PatternGrams) -> Column:
+    """Grams and weights as a constant, for scoring rows from their own text."""
+    entries = [
+        F.struct(F.lit(gram).alias("gram"), F.lit(weight).alias("weight"))
+        for gram, weight in weights(index, pattern)
+    ]
+    return F.array(*entries)

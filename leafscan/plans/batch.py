@@ -18,10 +18,9 @@ from leafscan.functions.glob import (
     wrap_substring,
 )
 from leafscan.functions.regex import compiled
-from leafscan.functions.text import fold
-from leafscan.operators.bm25 import SCALE, idf_column, term
-from leafscan.operators.candidates import BROADCAST_ROWS
-from leafscan.operators.grams import bucket, gram_count
+from leafscan.operators.bm25 import idf_column, score_in_place
+from leafscan.operators.candidates import BROADCAST_ROWS, ROW_BYTES
+from leafscan.operators.grams import bucket
 from leafscan.plans.ranking import passes, two_blocks
 from leafscan.plans.search import LIMIT
 from leafscan.session import checkpoint_dir
@@ -104,46 +103,27 @@ def pair_candidates(index: Index, weighed: DataFrame, n_queries: int) -> DataFra
     return joined.select("query_id", "row_id", block("row_id"))
 
 
-def _score(terms: Column, name: Column, content: Column, average: float) -> Column:
-    """BM25 of one row for one query's terms, counted in the row's own text."""
-    # the texts are folded once and bound by the outer lambda, not once for each gram
-    folded = F.array(F.struct(fold(name).alias("name"), fold(content).alias("content")))
-    length = gram_count(name, content)
-
-    def occurrences(text: Column, gram: Column) -> Column:
-        return F.regexp_count(text, F.concat(F.lit("(?s)(?=\\Q"), gram, F.lit("\\E)")))
-
-    def add(text: Column, total: Column, entry: Column) -> Column:
-        tf = occurrences(text["name"], entry["gram"]) + occurrences(text["content"], entry["gram"])
-        return total + term(entry["weight"], tf, length, average)
-
-    def score(text: Column) -> Column:
-        zero = F.lit(0).cast("long")
-        return F.aggregate(terms, zero, lambda total, entry: add(text, total, entry))
-
-    return -(F.transform(folded, score)[0] / F.lit(SCALE))
-
-
 def indexed_hits(index: Index, queries: DataFrame) -> DataFrame:
     """Hits of the glob queries that have grams."""
     checkpoint_dir(index.spark)
     globs = compile_globs(queries.where(~F.col("is_re"))).where(F.size("grams") > 0)
     weighed = weigh(index, globs).checkpoint()
-    size = weighed.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
-    n_queries, n_pairs = size
+    width = F.octet_length("regex") + F.lit(64) * F.size("terms")
+    totals = (F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("df"), width))
+    n_queries, n_pairs, n_bytes = weighed.agg(F.count(F.lit(1)), *totals).first()
     pairs = pair_candidates(index, weighed, n_queries)
     details = weighed.select("query_id", "needle", "regex", "terms")
     # few pairs go out to the texts; more than that, and both sides meet by row
     if n_pairs <= BROADCAST_ROWS:
         pairs = F.broadcast(pairs)
-    if n_queries <= BROADCAST_ROWS:
+    if n_bytes <= BROADCAST_ROWS * ROW_BYTES:
         details = F.broadcast(details)
     texts = index.fts.select("row_id", "block", "id", "name", "description", "content")
     rows = texts.join(pairs, ["row_id", "block"]).join(details, "query_id")
     name, content = F.col("name"), F.col("content")
     test = [matches(col, F.col("needle"), F.col("regex")) for col in (name, content)]
     tested = rows.withColumn("passes", passes(*test)).where(F.size("passes") > 0)
-    scored = tested.withColumn("score", _score(F.col("terms"), name, content, index.average))
+    scored = tested.withColumn("score", score_in_place(F.col("terms"), name, content, index.average))
     found = F.explode_outer("passes").alias("pass")
     return scored.select("query_id", "row_id", "id", "name", "description", found, "score")
 

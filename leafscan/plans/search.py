@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leafscan.functions.glob import glob_match, pattern_grams, wrap_substring
 from leafscan.functions.regex import compiled
-from leafscan.operators.candidates import candidates, look_up
+from leafscan.operators.bm25 import score_in_place
+from leafscan.operators.candidates import BROADCAST_ROWS, candidates, literal_terms, look_up
 from leafscan.plans.ranking import passes, two_blocks
 from leafscan.schemas import RESULT
 from leafscan.sources.tables import Index
@@ -22,8 +23,14 @@ def search(
 
     Names shown in the first block are taken out of the second after its limit, so the
     second may hold fewer than k rows.
+
+    A pattern with a rare gram is answered through the postings: its few candidates go
+    out to the texts, and only their blocks are read. If even its rarest gram is common,
+    most texts have to be read anyway; then each hit is scored from the text at hand,
+    and nothing is shuffled before the ranking.
     """
-    scores = None
+    name, content = F.col("name"), F.col("content")
+    scores, score = None, F.lit(0.0)
     if is_re:
         java = compiled(index.spark, pattern)
         if java is None:
@@ -42,17 +49,17 @@ def search(
             found = look_up(index, grams)
             if not found.bound:
                 return index.spark.createDataFrame([], RESULT)
-            scores = candidates(index, found)
+            if found.bound <= BROADCAST_ROWS:
+                scores = F.broadcast(candidates(index, found))
+            else:
+                score = score_in_place(literal_terms(index, found), name, content, index.average)
 
     # the tests run in the scan: what is joined and shuffled carries no contents
-    name, content = F.col("name"), F.col("content")
-    found = F.explode_outer(passes(test(name), test(content))).alias("pass")
     rows = index.fts.where(test(name) | test(content))
-    hits = rows.select("row_id", "block", "id", "name", "description", found)
-    if scores is None:
-        hits = hits.withColumn("score", F.lit(0.0))
-    else:
-        hits = hits.join(scores, ["row_id", "block"])
+    if scores is not None:
+        rows, score = rows.join(scores, ["row_id", "block"]), F.col("score")
+    found_in = F.explode_outer(passes(test(name), test(content))).alias("pass")
+    hits = rows.select("row_id", "id", "name", "description", found_in, score.alias("score"))
     result = two_blocks(hits, k, [])
     return result.orderBy("pass", "rank") if ordered else result
 

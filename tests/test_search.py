@@ -189,10 +189,10 @@ def test_batch_is_the_single_search_for_each_query(spark, bodies_index, monkeypa
         assert ranking(got.get(query_id, [])) == want, pattern
 
 
-def test_shuffled_candidates_give_the_same(bodies_index, monkeypatch):
-    want = ranking(S.search(bodies_index, "socket").collect())
-    monkeypatch.setattr("leafscan.operators.candidates.BROADCAST_ROWS", 0)
-    assert ranking(S.search(bodies_index, "socket").collect()) == want
+@pytest.mark.parametrize("pattern", QUERIES)
+def test_scores_from_the_text_equal_those_from_postings(bodies_index, monkeypatch, pattern):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    assert ranking(S.search(bodies_index, pattern, k=4).collect()) == brute_search(pattern, 4)
 
 
 def test_sql_functions_and_parameters(spark, small_index):
