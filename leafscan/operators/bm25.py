@@ -57,7 +57,12 @@ def score_in_place(terms: Column, name: Column, content: Column, average: float)
     length = gram_count(name, content)
 
     def occurrences(text: Column, gram: Column) -> Column:
-        return F.regexp_count(text, F.concat(F.lit("(?s)(?=\\Q"), gram, F.lit("\\E)")))
+        # taking the gram out shortens the text by each place it stands in, unless two
+        # places overlap, which needs a gram that ends as it begins
+        shorter = F.octet_length(text) - F.octet_length(F.replace(text, gram, F.lit("")))
+        apart = (shorter / F.octet_length(gram)).cast("long")
+        overlapping = F.regexp_count(text, F.concat(F.lit("(?s)(?=\\Q"), gram, F.lit("\\E)")))
+        return F.when(F.left(gram, F.lit(1)) == F.right(gram, F.lit(1)), overlapping).otherwise(apart)
 
     def add(text: Column, total: Column, entry: Column) -> Column:
         tf = occurrences(text["name"], entry["gram"]) + occurrences(text["content"], entry["gram"])

@@ -14,6 +14,9 @@ from leafscan.sources.tables import Index, block
 
 # Up to this many candidate rows are broadcast to the text table, at ROW_BYTES each.
 BROADCAST_ROWS, ROW_BYTES = 500_000, 64
+# The postings are used where they leave at most one row in this many to look at;
+# otherwise a scan reads little more and shuffles nothing.
+SELECTIVE = 64
 
 
 @dataclass(frozen=True)

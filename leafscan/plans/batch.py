@@ -7,7 +7,7 @@ from functools import reduce
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.functions.glob import (
@@ -19,14 +19,14 @@ from leafscan.functions.glob import (
 )
 from leafscan.functions.regex import compiled
 from leafscan.operators.bm25 import idf_column, score_in_place
-from leafscan.operators.candidates import BROADCAST_ROWS, ROW_BYTES
+from leafscan.operators.candidates import BROADCAST_ROWS, ROW_BYTES, SELECTIVE
 from leafscan.operators.grams import bucket
 from leafscan.plans.ranking import passes, two_blocks
 from leafscan.plans.search import LIMIT
 from leafscan.session import checkpoint_dir
 from leafscan.sources.tables import Index, block
 
-# Patterns without a gram are tested this many at a time, with one scan of the texts each.
+# Patterns are scanned for this many at a time.
 SCAN_PATTERNS = 64
 # A gram's postings and the queries that start from it meet in this many tasks when the
 # queries are too many to broadcast.
@@ -103,14 +103,13 @@ def pair_candidates(index: Index, weighed: DataFrame, n_queries: int) -> DataFra
     return joined.select("query_id", "row_id", block("row_id"))
 
 
-def indexed_hits(index: Index, queries: DataFrame) -> DataFrame:
-    """Hits of the glob queries that have grams."""
-    checkpoint_dir(index.spark)
-    globs = compile_globs(queries.where(~F.col("is_re"))).where(F.size("grams") > 0)
-    weighed = weigh(index, globs).checkpoint()
+def indexed_hits(index: Index, weighed: DataFrame) -> DataFrame:
+    """Hits of queries with a rare gram, found through the postings."""
     width = F.octet_length("regex") + F.lit(64) * F.size("terms")
     totals = (F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("df"), width))
     n_queries, n_pairs, n_bytes = weighed.agg(F.count(F.lit(1)), *totals).first()
+    if not n_queries:
+        return index.spark.createDataFrame([], HITS)
     pairs = pair_candidates(index, weighed, n_queries)
     details = weighed.select("query_id", "needle", "regex", "terms")
     # few pairs go out to the texts; more than that, and both sides meet by row
@@ -128,37 +127,46 @@ def indexed_hits(index: Index, queries: DataFrame) -> DataFrame:
     return scored.select("query_id", "row_id", "id", "name", "description", found, "score")
 
 
-def scanned_hits(index: Index, queries: DataFrame) -> DataFrame:
-    """Hits of regular expressions and of globs without a gram, by scans of the texts.
-
-    The driver checks and compiles the patterns a chunk at a time; each scan tests a
-    whole chunk and hands on matches only. All of these score 0.
+def scan_tests(spark: SparkSession, chunk: list[Row]) -> list[Column]:
+    """For each pattern and pass the entry a matching row gets; none for a bad pattern."""
+    tests = []
+    for query_id, pattern, is_re, scored in chunk:
+        java = compiled(spark, pattern) if is_re else None
+        if is_re and java is None:
+            continue
+        for place, column in enumerate(("name", "content")):
+            col = F.col(column)
+            hit = col.rlike(java) if is_re else glob_match(col, wrap_substring(pattern))
+            # one literal struct for each entry, spelled in SQL
+            entry = f"named_struct('query_id', {query_id:d}L, 'pass', {place}, 'scored', {scored})"
+            tests.append(F.when(hit, F.expr(entry)))
+    return tests
+
+
+def scanned_hits(index: Index, patterns: DataFrame, weighed: DataFrame) -> DataFrame:
+    """Hits of regexes, of globs without a gram and of globs with common grams only.
+
+    Most texts have to be read for these anyway. The driver compiles the patterns
+    ``(query_id, pattern, is_re, scored)`` a chunk at a time; each scan tests a whole
+    chunk and hands on matches alone. The scored ones carry the text to their terms.
     """
-    spark = index.spark
-    gramless = compile_globs(queries.where(~F.col("is_re"))).where(F.size("grams") == 0)
-    kept = queries.join(gramless.select("query_id"), "query_id", "left_semi")
-    kept = kept.unionByName(queries.where("is_re")).select("query_id", "pattern", "is_re")
-    source, scans = kept.toLocalIterator(), []
+    spark, source, scans = index.spark, patterns.toLocalIterator(), []
     while chunk := list(islice(source, SCAN_PATTERNS)):
-        entries = []
-        for query_id, pattern, is_re in chunk:
-            java = compiled(spark, pattern) if is_re else None
-            if is_re and java is None:
-                continue
-            glob = None if is_re else wrap_substring(pattern)
-            for place, column in enumerate(("name", "content")):
-                col = F.col(column)
-                hit = col.rlike(java) if is_re else glob_match(col, glob)
-                entry = F.struct(F.lit(query_id).cast("long").alias("query_id"), F.lit(place).alias("pass"))
-                entries.append(F.when(hit, entry))
-        if entries:
-            found = F.explode(F.array_compact(F.array(*entries))).alias("hit")
-            scans.append(index.fts.select("row_id", "id", "name", "description", found))
+        tests = scan_tests(spark, chunk)
+        if tests:
+            # the outer form, because Spark guards the plain one with a filter that would
+            # run all the tests a second time
+            found = F.explode_outer(F.array_compact(F.array(*tests))).alias("hit")
+            hits = index.fts.select("row_id", "id", "name", "description", "content", found)
+            scans.append(hits.where(F.col("hit").isNotNull()))
     if not scans:
         return spark.createDataFrame([], HITS)
-    union = reduce(DataFrame.unionByName, scans)
-    zero = F.lit(0.0).alias("score")
-    return union.select("hit.query_id", "row_id", "id", "name", "description", "hit.pass", zero)
+    union = reduce(DataFrame.unionByName, scans).select("*", "hit.query_id", "hit.pass", "hit.scored")
+    content = F.when(F.col("scored"), F.col("content"))
+    rows = union.withColumn("content", content).join(weighed.select("query_id", "terms"), "query_id", "left")
+    score = score_in_place(F.col("terms"), F.col("name"), F.col("content"), index.average)
+    score = F.when(F.col("scored"), score).otherwise(0.0).alias("score")
+    return rows.select("query_id", "row_id", "id", "name", "description", "pass", score)
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = LIMIT) -> DataFrame:
@@ -167,5 +175,18 @@ def search_batch(index: Index, queries: DataFrame, k: int = LIMIT) -> DataFrame:
     A query may match any share of the rows: each task keeps its own best k before the
     ranking is shuffled by query.
     """
-    hits = indexed_hits(index, queries).unionByName(scanned_hits(index, queries))
+    checkpoint_dir(index.spark)
+    queries = queries.withColumn("query_id", F.col("query_id").cast("long"))
+    globs = compile_globs(queries.where(~F.col("is_re")))
+    weighed = weigh(index, globs.where(F.size("grams") > 0)).checkpoint()
+    rare = F.col("df") * SELECTIVE <= index.n_rows
+
+    plain = queries.select("query_id", "pattern", "is_re")
+    gramless = globs.where(F.size("grams") == 0).select("query_id")
+    unscored = plain.where("is_re").unionByName(plain.join(gramless, "query_id", "left_semi"))
+    common = weighed.where(~rare)
+    patterns = unscored.withColumn("scored", F.lit(False)).unionByName(
+        plain.join(common, "query_id", "left_semi").withColumn("scored", F.lit(True))
+    )
+    hits = indexed_hits(index, weighed.where(rare)).unionByName(scanned_hits(index, patterns, common))
     return two_blocks(hits, k, ["query_id"])

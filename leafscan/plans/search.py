@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from leafscan.functions.glob import glob_match, pattern_grams, wrap_substring
 from leafscan.functions.regex import compiled
 from leafscan.operators.bm25 import score_in_place
-from leafscan.operators.candidates import BROADCAST_ROWS, candidates, literal_terms, look_up
+from leafscan.operators.candidates import (
+    BROADCAST_ROWS,
+    SELECTIVE,
+    candidates,
+    literal_terms,
+    look_up,
+)
 from leafscan.plans.ranking import passes, two_blocks
 from leafscan.schemas import RESULT
 from leafscan.sources.tables import Index
@@ -49,7 +55,7 @@ def search(
             found = look_up(index, grams)
             if not found.bound:
                 return index.spark.createDataFrame([], RESULT)
-            if found.bound <= BROADCAST_ROWS:
+            if found.bound <= BROADCAST_ROWS and found.bound * SELECTIVE <= index.n_rows:
                 scores = F.broadcast(candidates(index, found))
             else:
                 score = score_in_place(literal_terms(index, found), name, content, index.average)

@@ -52,6 +52,8 @@ TABLES = {"page": PAGE, "fts": FTS, "postings": POSTINGS, "gram_df": GRAM_DF, "c
 # Rows of page and fts are stored in blocks of consecutive keys, so that a join with a
 # handful of keys prunes to their blocks.
 BLOCK_ROWS = 1 << 20
+# A block is written in slices of this many rows, which are never split.
+SLICE_ROWS = 1 << 10
 # Postings are stored in this many hash buckets of the gram, so that a query reads only
 # the buckets of its own grams.
 BUCKETS = 64

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.schemas import BLOCK_ROWS, PARTITIONS, TABLES, stored
+from leafscan.schemas import BLOCK_ROWS, PARTITIONS, SLICE_ROWS, TABLES, stored
 from leafscan.sources.files import BINARY
 
 
@@ -85,7 +85,11 @@ def write_batch(df: DataFrame, directory: str, table: str, batch: int, codec: st
     """
     keys = [name for name, _ in PARTITIONS[table] if name != "batch"]
     order = {"page": ["id"], "fts": ["row_id"], "postings": ["gram", "row_id"], "gram_df": ["gram"]}
-    if keys:
+    if "block" in keys:
+        # slices of a block, so that one block may fill several tasks
+        slices = (F.col(order[table][0]) / SLICE_ROWS).cast("long")
+        df = df.withColumn("slice", slices).hint("rebalance", "block", "slice").drop("slice")
+    elif keys:
         df = df.hint("rebalance", *keys)
     if table in order:
         df = df.sortWithinPartitions(*keys, *order[table])

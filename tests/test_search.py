@@ -156,8 +156,11 @@ def ranking(rows):
     return sorted((r["pass"], r["rank"], r["name"], round(r["score"], 9)) for r in rows)
 
 
+@pytest.mark.parametrize("selective", [0, 64])
 @pytest.mark.parametrize("pattern", QUERIES)
-def test_search_against_brute_force(bodies_index, pattern):
+def test_search_against_brute_force(bodies_index, monkeypatch, pattern, selective):
+    """With 0 the postings answer, with 64 this small table is always scanned."""
+    monkeypatch.setattr(S, "SELECTIVE", selective)
     assert ranking(S.search(bodies_index, pattern, k=4).collect()) == brute_search(pattern, 4)
 
 
@@ -172,12 +175,12 @@ def test_candidates_hold_every_match(bodies_index):
             assert len(kept) <= found.bound
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_batch_is_the_single_search_for_each_query(spark, bodies_index, monkeypatch, limit):
+@pytest.mark.parametrize("selective, broadcast", [(0, 500_000), (0, 0), (64, 500_000)])
+def test_batch_against_brute_force(spark, bodies_index, monkeypatch, selective, broadcast):
     """With a broadcast limit of 0 every join takes its shuffled form."""
-    if limit is not None:
-        monkeypatch.setattr(batch, "BROADCAST_ROWS", limit)
-        monkeypatch.setattr(batch, "SCAN_PATTERNS", 2)
+    monkeypatch.setattr(batch, "SELECTIVE", selective)
+    monkeypatch.setattr(batch, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(batch, "SCAN_PATTERNS", 4)
     patterns = [(p, False) for p in QUERIES] + [(p, True) for p in PATTERN_REGEXES]
     rows = [(i, p, r) for i, (p, r) in enumerate(patterns)]
     queries = spark.createDataFrame(rows, "query_id long, pattern string, is_re boolean")
@@ -185,16 +188,13 @@ def test_batch_is_the_single_search_for_each_query(spark, bodies_index, monkeypa
     for row in batch.search_batch(bodies_index, queries, k=4).collect():
         got.setdefault(row["query_id"], []).append(row)
     for query_id, pattern, is_re in rows:
-        want = ranking(S.search(bodies_index, pattern, is_re, k=4).collect())
+        if is_re:
+            want = ranking(S.search(bodies_index, pattern, is_re, k=4).collect())
+        else:
+            want = brute_search(pattern, 4)
         assert ranking(got.get(query_id, [])) == want, pattern
 
 
-@pytest.mark.parametrize("pattern", QUERIES)
-def test_scores_from_the_text_equal_those_from_postings(bodies_index, monkeypatch, pattern):
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
-    assert ranking(S.search(bodies_index, pattern, k=4).collect()) == brute_search(pattern, 4)
-
-
 def test_sql_functions_and_parameters(spark, small_index):
     sql.register_functions(spark)
     sql.register_tables(small_index)
@@ -206,7 +206,8 @@ def test_sql_functions_and_parameters(spark, small_index):
     assert "RLIKE" in plan and "Python" not in plan
 
 
-def test_search_prunes_and_pushes(small_index):
+def test_search_prunes_and_pushes(small_index, monkeypatch):
+    monkeypatch.setattr(S, "SELECTIVE", 0)
     plan = S.search(small_index, "socket")._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(content,socket)" in plan and "WindowGroupLimit" in plan
     assert "In(gram, [" in plan and "bucket" in plan.split("PartitionFilters")[-1]
