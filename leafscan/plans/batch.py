@@ -32,6 +32,7 @@ SCAN_PATTERNS = 64
 # queries are too many to broadcast.
 SALTS = 32
 
+TERMS = "array<struct<gram: string, weight: double>>"
 GLOBS = "query_id long, needle string, regex string, grams array<string>"
 HITS = "query_id long, row_id long, id long, name string, description string, pass int, score double"
 
@@ -130,43 +131,51 @@ def indexed_hits(index: Index, weighed: DataFrame) -> DataFrame:
 def scan_tests(spark: SparkSession, chunk: list[Row]) -> list[Column]:
     """For each pattern and pass the entry a matching row gets; none for a bad pattern."""
     tests = []
-    for query_id, pattern, is_re, scored in chunk:
-        java = compiled(spark, pattern) if is_re else None
-        if is_re and java is None:
+    for row in chunk:
+        java = compiled(spark, row["pattern"]) if row["is_re"] else None
+        if row["is_re"] and java is None:
             continue
         for place, column in enumerate(("name", "content")):
             col = F.col(column)
-            hit = col.rlike(java) if is_re else glob_match(col, wrap_substring(pattern))
+            hit = col.rlike(java) if row["is_re"] else glob_match(col, wrap_substring(row["pattern"]))
             # one literal struct for each entry, spelled in SQL
-            entry = f"named_struct('query_id', {query_id:d}L, 'pass', {place}, 'scored', {scored})"
+            entry = f"named_struct('query_id', {row['query_id']:d}L, 'pass', {place})"
             tests.append(F.when(hit, F.expr(entry)))
     return tests
 
 
-def scanned_hits(index: Index, patterns: DataFrame, weighed: DataFrame) -> DataFrame:
-    """Hits of regexes, of globs without a gram and of globs with common grams only.
+def scanned_hits(index: Index, patterns: DataFrame) -> DataFrame:
+    """Hits of ``(query_id, pattern, is_re, terms)`` by scans of the texts.
 
-    Most texts have to be read for these anyway. The driver compiles the patterns
-    ``(query_id, pattern, is_re, scored)`` a chunk at a time; each scan tests a whole
-    chunk and hands on matches alone. The scored ones carry the text to their terms.
+    These are regexes, globs without a gram and globs with common grams only: most texts
+    have to be read for them anyway. The driver compiles the patterns a chunk at a time;
+    each scan tests a whole chunk and hands on matches alone. Patterns with terms score
+    their hits in the same task, with the chunk's own terms sent along; others score 0.
     """
-    spark, source, scans = index.spark, patterns.toLocalIterator(), []
-    while chunk := list(islice(source, SCAN_PATTERNS)):
-        tests = scan_tests(spark, chunk)
-        if tests:
+    spark, scans = index.spark, []
+    shown = ["row_id", "id", "name", "description"]
+    for scored in (False, True):
+        source = patterns.where(F.col("terms").isNotNull() == scored).toLocalIterator()
+        while chunk := list(islice(source, SCAN_PATTERNS)):
+            tests = scan_tests(spark, chunk)
+            if not tests:
+                continue
             # the outer form, because Spark guards the plain one with a filter that would
             # run all the tests a second time
             found = F.explode_outer(F.array_compact(F.array(*tests))).alias("hit")
-            hits = index.fts.select("row_id", "id", "name", "description", "content", found)
-            scans.append(hits.where(F.col("hit").isNotNull()))
-    if not scans:
-        return spark.createDataFrame([], HITS)
-    union = reduce(DataFrame.unionByName, scans).select("*", "hit.query_id", "hit.pass", "hit.scored")
-    content = F.when(F.col("scored"), F.col("content"))
-    rows = union.withColumn("content", content).join(weighed.select("query_id", "terms"), "query_id", "left")
-    score = score_in_place(F.col("terms"), F.col("name"), F.col("content"), index.average)
-    score = F.when(F.col("scored"), score).otherwise(0.0).alias("score")
-    return rows.select("query_id", "row_id", "id", "name", "description", "pass", score)
+            hits = index.fts.select(*shown, *(["content"] if scored else []), found)
+            hits = hits.where(F.col("hit").isNotNull()).withColumns(
+                {"query_id": F.col("hit.query_id"), "pass": F.col("hit.pass")}
+            )
+            score = F.lit(0.0)
+            if scored:
+                terms = [(row["query_id"], row["terms"]) for row in chunk]
+                few = F.broadcast(spark.createDataFrame(terms, f"query_id long, terms {TERMS}"))
+                hits = hits.join(few, "query_id")
+                text = (F.col("name"), F.col("content"))
+                score = score_in_place(F.col("terms"), *text, index.average)
+            scans.append(hits.select("query_id", *shown, "pass", score.alias("score")))
+    return reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], HITS)
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = LIMIT) -> DataFrame:
@@ -184,9 +193,7 @@ def search_batch(index: Index, queries: DataFrame, k: int = LIMIT) -> DataFrame:
     plain = queries.select("query_id", "pattern", "is_re")
     gramless = globs.where(F.size("grams") == 0).select("query_id")
     unscored = plain.where("is_re").unionByName(plain.join(gramless, "query_id", "left_semi"))
-    common = weighed.where(~rare)
-    patterns = unscored.withColumn("scored", F.lit(False)).unionByName(
-        plain.join(common, "query_id", "left_semi").withColumn("scored", F.lit(True))
-    )
-    hits = indexed_hits(index, weighed.where(rare)).unionByName(scanned_hits(index, patterns, common))
+    common = plain.join(weighed.where(~rare).select("query_id", "terms"), "query_id")
+    patterns = unscored.withColumn("terms", F.lit(None).cast(TERMS)).unionByName(common)
+    hits = indexed_hits(index, weighed.where(rare)).unionByName(scanned_hits(index, patterns))
     return two_blocks(hits, k, ["query_id"])

@@ -16,7 +16,7 @@ from leafscan.operators.grams import bucket, gram_count, gram_df, postings
 from leafscan.operators.pages import assign_ids, first_pages
 from leafscan.schemas import COMMITS
 from leafscan.session import spread
-from leafscan.sources.files import decode_all, discover
+from leafscan.sources.files import decode_all, discover, named_files
 from leafscan.sources.tables import (
     Index,
     block,
@@ -28,6 +28,10 @@ from leafscan.sources.tables import (
 )
 
 
+# Up to this many new files are opened by name.
+NAMED_FILES = 1000
+
+
 def extract(decoded: DataFrame, derive: bool = False) -> DataFrame:
     """``(path, name, description, section, last_modified, content)`` of decoded pages."""
     mtime = F.timestamp_seconds("mtime") if "mtime" in decoded.columns else None
@@ -57,22 +61,25 @@ def build(
     Known paths are skipped. With ``faithful`` they add another text row each time.
     """
     ensure_tables(spark, directory)
-    return ingest_files(spark, discover(spark, roots), directory, faithful, derive, codec)
+    files = discover(spark, roots)
+    if not faithful:
+        files = unknown_files(files, load_index(spark, directory))
+    return ingest_texts(spark, decode_all(files), directory, faithful, derive, codec)
 
 
-def ingest_files(
-    spark: SparkSession,
-    files: DataFrame,
-    directory: str,
-    faithful: bool = False,
-    derive: bool = False,
-    codec: str = "zstd",
-) -> Index:
-    """Decode files that are new to the catalogue and add them."""
-    index = load_index(spark, directory)
-    if index.n_pages and not faithful:
-        files = files.join(index.page.select("path"), "path", "left_anti")
-    return ingest_texts(spark, decode_all(files), directory, faithful, derive, codec)
+def unknown_files(files: DataFrame, index: Index) -> DataFrame:
+    """Files whose path the catalogue does not hold.
+
+    The comparison uses paths alone. A few new files are then opened by name, so that
+    building again does not read the whole tree.
+    """
+    if not index.n_pages:
+        return files
+    fresh = files.select("path").join(index.page.select("path"), "path", "left_anti")
+    few = [row["path"] for row in fresh.limit(NAMED_FILES + 1).collect()]
+    if len(few) > NAMED_FILES:
+        return files.join(fresh, "path", "left_semi")
+    return named_files(index.spark, few)
 
 
 def ingest_texts(

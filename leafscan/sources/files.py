@@ -52,6 +52,14 @@ def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
     return plain_path(reader.load([_escaped(path) for path in dirs]))
 
 
+def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Given files, with the columns of ``discover``; a path without a scheme is local."""
+    if not paths:
+        return spark.createDataFrame([], BINARY)
+    full = [_escaped(f"file:{path}" if path.startswith("/") else path) for path in paths]
+    return plain_path(spark.read.format("binaryFile").load(full))
+
+
 def gunzip(data: bytes) -> bytes | None:
     """First member of a gzip file; None if it is damaged or cut short."""
     stream = zlib.decompressobj(wbits=31)

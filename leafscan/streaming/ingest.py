@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.plans.build import ingest_files
-from leafscan.sources.files import BINARY, _escaped, plain_path
-from leafscan.sources.tables import ensure_tables
+from leafscan.plans.build import ingest_texts, unknown_files
+from leafscan.sources.files import BINARY, _escaped, decode_all, plain_path
+from leafscan.sources.tables import ensure_tables, load_index
 
 
 def ingest_available(
@@ -35,7 +35,8 @@ def ingest_available(
 
     def add(files: DataFrame, _epoch: int) -> None:
         if not files.select("path").isEmpty():
-            ingest_files(files.sparkSession, files, directory)
+            fresh = unknown_files(files, load_index(files.sparkSession, directory))
+            ingest_texts(files.sparkSession, decode_all(fresh), directory)
 
     files = plain_path(reduce(DataFrame.unionByName, map(stream, sorted(set(roots)))))
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

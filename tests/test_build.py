@@ -87,7 +87,9 @@ def test_build(spark, tree, tmp_path):
     assert size.raw_bytes == sum(len(row[3].encode()) for row in fts) and size.stored_bytes > 0
 
 
-def test_build_again_adds_only_what_is_new(spark, tree, tmp_path):
+@pytest.mark.parametrize("by_name", [1000, 0])
+def test_build_again_adds_only_what_is_new(spark, tree, tmp_path, monkeypatch, by_name):
+    monkeypatch.setattr("leafscan.plans.build.NAMED_FILES", by_name)
     first, second = tree
     folder = str(tmp_path / "index")
     before = rows(build(spark, [str(first)], folder))
