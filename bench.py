@@ -36,7 +36,7 @@ def session() -> SparkSession:
         "spark.sql.shuffle.partitions": CPUS,
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         # pieces of a local job are small: keep all cores busy
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
     }
     for key, value in settings.items():
         builder = builder.config(key, value)

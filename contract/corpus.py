@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ def page_sources(documents: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession) -> str:
     """An unused folder under the shared checkpoint folder."""
     shared = checkpoint_dir(spark).rstrip("/")
-    return f"{shared}/leafscan-{next(tempfile._get_candidate_names())}"
+    return f"{shared}/leafscan-{uuid.uuid4().hex}"
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Index:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from contract.queries import (
-    CLASS_GLOBS,
     COMMON,
     FLAGGED,
     NAME_GLOBS,
@@ -273,5 +272,3 @@ joined AS (SELECT tested.*, CASE WHEN whole THEN 0.0::DOUBLE ELSE score END AS s
 hits AS (SELECT query_id, row_id, id, name, description, 0 AS pass, score FROM joined WHERE by_name
   UNION ALL SELECT query_id, row_id, id, name, description, 1, score FROM joined WHERE by_content), {BLOCKS}
 SELECT query_id, name, description, pass, rank, score FROM blocks"""
-
-__all__ = ["CLASS_GLOBS", "ORACLE"]

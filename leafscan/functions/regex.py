@@ -8,12 +8,15 @@ what the dialect lacks is refused.
 
 from __future__ import annotations
 
+import logging
 import re
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from leafscan.functions.glob import NEVER, quote
+from leafscan.functions.glob import quote
+
+log = logging.getLogger(__name__)
 
 
 class PatternError(ValueError):
@@ -193,7 +196,7 @@ def compiled(spark: SparkSession, pattern: str) -> str | None:
         spark._jvm.java.util.regex.Pattern.compile(java)
     except Exception as error:  # the JVM reports its own syntax errors
         reason = str(error).splitlines()[0]
-        print(f"pattern {pattern!r} matches nothing: {reason}")
+        log.warning("pattern %r matches nothing: %s", pattern, reason)
         return None
     return java
 
@@ -203,5 +206,3 @@ def regex_match(spark: SparkSession, col: Column, pattern: str) -> Column:
     java = compiled(spark, pattern)
     return F.lit(False) if java is None else col.rlike(java)
 
-
-__all__ = ["NEVER", "PatternError", "compiled", "regex_match", "to_java"]

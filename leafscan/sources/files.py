@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 # Decoded text handed back to Spark at once, in bytes.
 FLUSH = 32 << 20
@@ -30,7 +33,7 @@ def section_dirs(spark: SparkSession, roots: list[str]) -> list[str]:
                 if status.isDirectory():
                     found.add(status.getPath().toString())
         except Exception as error:  # a missing root or one without permission
-            print(f"skipping {root}: {str(error).splitlines()[0]}")
+            log.warning("skipping %s: %s", root, str(error).splitlines()[0])
     return sorted(found)
 
 
