@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe, fingerprints, quality_rules
+from leafscan.llm import bpe, chat, fingerprints, mixing, quality_rules
 from leafscan.llm.common import table
-from leafscan.llm.oracle import QUALITY_RULES
+from leafscan.llm.oracle import CHAT, MIXING, QUALITY_RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.dialogues(table(spark, sf_dir, "conversations"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -31,7 +39,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
+    "op5_chat": op5_chat,
     "op7_byte_bpe": op7_byte_bpe,
 }
-ORACLE = {"op2_quality_rules": QUALITY_RULES}
+ORACLE = {"op2_quality_rules": QUALITY_RULES, "op3_mixing": MIXING, "op5_chat": CHAT}
