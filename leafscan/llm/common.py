@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ BATCH_ROWS = 1000
 FLUSH_BYTES = 8 << 20
 # A joined side of no more rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 50_000
+# Values of a salt that deals out the rows of a frequent key.
 SALTS = 32
 
 
@@ -92,6 +94,13 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return joined.withColumn(out, F.col("_local") + F.col("_before")).select(*df.columns, out)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch, unless the session bounds them tighter."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 Rows = Callable[[Iterator[tuple]], Iterable[tuple]]
 
 
@@ -101,10 +110,7 @@ def map_rows(df: DataFrame, function: Rows, schema: str) -> DataFrame:
     Batches are small in both directions: BATCH_ROWS rows come in, and what goes out is
     handed over whenever it holds FLUSH_BYTES.
     """
-    spark = df.sparkSession
-    rows_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows_key)) <= BATCH_ROWS:
-        spark.conf.set(rows_key, str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,3 +133,33 @@ def map_rows(df: DataFrame, function: Rows, schema: str) -> DataFrame:
             yield emit(rows)
 
     return df.mapInArrow(run, schema)
+
+
+Columns = Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]]
+# Elements of a column that are handed to Spark at once.
+FLUSH_ROWS = 1 << 17
+
+
+def map_columns(df: DataFrame, function: Columns, schema: str) -> DataFrame:
+    """``mapInArrow`` for a function from batches to tuples of equally long numpy arrays."""
+    small_batches(df.sparkSession)
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            columns = [pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*parts), target.types)]
+            whole = pa.RecordBatch.from_arrays(columns, schema=target)
+            for start in range(0, whole.num_rows, FLUSH_ROWS):
+                yield whole.slice(start, FLUSH_ROWS)
+
+        parts, held = [], 0
+        for part in function(batches):
+            parts.append(part)
+            held += len(part[0])
+            if held >= FLUSH_ROWS:
+                yield from emit(parts)
+                parts, held = [], 0
+        if held:
+            yield from emit(parts)
+
+    return df.mapInArrow(run, schema)

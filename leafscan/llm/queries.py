@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe, chat, fingerprints, mixing, quality_rules
+from leafscan.llm import bpe, chat, fingerprints, jaccard, mixing, quality_rules
 from leafscan.llm.common import table
 from leafscan.llm.oracle import CHAT, MIXING, QUALITY_RULES
 
@@ -37,11 +37,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE = {"op2_quality_rules": QUALITY_RULES, "op3_mixing": MIXING, "op5_chat": CHAT}
