@@ -59,19 +59,14 @@ def stored(df: DataFrame) -> DataFrame:
 def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join with a table that has one row for each key; nulls are equal to each other.
 
-    ``right`` is counted: it is broadcast up to BROADCAST_ROWS. Beyond, it is repeated for
-    SALTS values of a salt by which the rows of a frequent key are dealt out.
+    ``right`` is counted: it is broadcast up to BROADCAST_ROWS. Beyond, both sides are
+    shuffled, and adaptive execution splits the partition of a frequent key.
     """
     other = right.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    same = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = left.join(F.broadcast(other), same, how)
-    else:
-        left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-        other = other.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        same = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
-        joined = left.join(other, [*same, left["_salt"] == other["_other"]], how).drop("_salt", "_other")
-    return joined.drop(*(f"_{k}" for k in keys))
+        other = F.broadcast(other)
+    same = [left[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    return left.join(other, same, how).drop(*(f"_{k}" for k in keys))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
