@@ -23,6 +23,8 @@ BATCH_ROWS = 1000
 FLUSH_BYTES = 8 << 20
 # A joined side of no more rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 50_000
+# Bits of the filter that tells which texts are needed.
+BITS = 1 << 25
 # Values of a salt that deals out the rows of a frequent key.
 SALTS = 32
 
@@ -158,3 +160,16 @@ def map_columns(df: DataFrame, function: Columns, schema: str) -> DataFrame:
             yield from emit(parts)
 
     return df.mapInArrow(run, schema)
+
+
+def wanted_bits(nodes: DataFrame) -> np.ndarray:
+    """A filter of BITS bits that lets the given nodes pass, and few others."""
+    bit = F.pmod("node", F.lit(BITS)) + 1  # these functions count from 1
+    rows = nodes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
+    )
+    out = np.zeros(BITS // 8, np.uint8)
+    for bucket, bits in rows.collect():
+        start = (bucket - 1) * 4096
+        out[start : start + 4096] = np.frombuffer(bits, np.uint8)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe, chat, fingerprints, jaccard, mixing, quality_rules
+from leafscan.llm import bpe, chat, fingerprints, jaccard, mixing, quality_rules, suffixes
 from leafscan.llm.common import table
 from leafscan.llm.oracle import CHAT, MIXING, QUALITY_RULES
 
@@ -16,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
