@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe, chat, fingerprints, jaccard, mixing, quality_rules, suffixes
+from leafscan.llm import bpe, chat, fingerprints, jaccard, mixing, nbsvm, quality_rules, suffix_tree, suffixes, toxicity
 from leafscan.llm.common import table
 from leafscan.llm.oracle import CHAT, MIXING, QUALITY_RULES
 
@@ -36,11 +36,23 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.dialogues(table(spark, sf_dir, "conversations"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -51,7 +63,10 @@ QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_fingerprints": op4_fingerprints,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE = {"op2_quality_rules": QUALITY_RULES, "op3_mixing": MIXING, "op5_chat": CHAT}
