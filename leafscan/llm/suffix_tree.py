@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from leafscan.llm.common import crc_mod, map_columns, map_rows, null_free, stored
 
-DEPTH = 5
+DEPTH = 6
 END = 256  # also stands before the first symbol
 BITS = 9
 # A context needs this share of all symbols, a next symbol after a context this one; so there
 # are at most DEPTH / CONTEXT states, however large the corpus is.
-CONTEXT, PAIR = 1e-4, 2e-6
+CONTEXT, PAIR = 2e-5, 5e-7
 # Least divergence of a context's next symbols from those of its suffix, in nats.
-DIVERGENCE = 0.01
+DIVERGENCE = 0.002
 # A word with this share of all tokens is frequent: there are at most 1 / FREQUENT of them.
 FREQUENT = 2e-6
 # Symbols that a task counts at once; symbols of a text that are scored in one row.
