@@ -8,6 +8,7 @@ suffix; the longest suffix that is a state predicts the next symbol.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -204,7 +205,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-PART = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
+PART = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, tfs array<long>"
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -236,14 +237,16 @@ def score(docs: DataFrame) -> DataFrame:
             tokens = [words_of(text) for *_, text in held]
             for (doc_id, out, _), words, value in zip(held, tokens, tree.scores([b" ".join(x) for x in tokens])):
                 known, base = (1, np.log10(ends + 1) - spread) if ends else (0, -spread)
+                rare, tfs = [], []
                 for word, tf in Counter(words).items():
                     c = often.get(word)
                     if c is None:
-                        yield key, *[None] * 6, word, tf
+                        rare.append(word)
+                        tfs.append(tf)
                     else:
                         known += tf
-                        base += tf * (np.log10(c + 1) - spread)
-                yield key, doc_id, out, len(words) + 1, known, float(base), float(value), None, None
+                        base += tf * (math.log10(c + 1) - spread)
+                yield key, doc_id, out, len(words) + 1, known, float(base), float(value), rare, tfs
                 key += 1
 
         for row in rows:
@@ -256,13 +259,15 @@ def score(docs: DataFrame) -> DataFrame:
             yield from finish()
 
     parts = stored(map_rows(docs.select("doc_id", held_out().alias("held_out"), null_free()), run, PART))
-    rare = parts.where("word is not null").select("key", "word", "tf").join(words, "word", "left")
+    zipped = F.explode(F.arrays_zip("words", "tfs")).alias("x")
+    rare = parts.select("key", zipped).select("key", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf"))
+    rare = rare.join(words, "word", "left")
     value = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.lit(spread)
     added = rare.groupBy("key").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"),
         F.sum(F.col("tf") * value).alias("value"),
     )
-    whole = parts.where("word is null").join(added, "key", "left")
+    whole = parts.drop("words", "tfs").join(added, "key", "left")
     return whole.select(
         "doc_id",
         "held_out",
