@@ -28,8 +28,12 @@ COUNTERS, SLICES = 1 << 20, 16
 HOT = 20_000
 # Bits of the filter that tells which texts are needed.
 BITS = 1 << 25
-# Parts of the hash range in which shingles are counted for the suffix filter.
-PARTS = 16
+# Bytes of the bitmap of a set for the suffix filter: at least half its size, within these.
+LEAST_BYTES, MOST_BYTES = 16, 512
+# Neighbours of a set, in a random order of those that share a shingle, that it may first be compared with.
+NEIGHBOURS = 4
+# Sets of one shingle that a task holds at once.
+HELD = 256
 # Pairs with one common partner that are verified in one task.
 VERIFIED = 2_000
 
@@ -39,6 +43,27 @@ def overlap(n: int | Column, m: int | Column) -> Column:
     return F.ceil((n + m) * F.lit(PERCENT) / F.lit(100 + PERCENT))
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each of a set's hashes, in a power of two of bytes that follows the set's size."""
+    size = min(max(1 << (len(hashes) // 2).bit_length(), LEAST_BYTES), MOST_BYTES)
+    marked = np.zeros(8 * size, bool)
+    marked[(hashes & np.uint64(8 * size - 1)).astype(np.int64)] = True
+    return np.packbits(marked, bitorder="little").tobytes()
+
+
+def most_common(x: np.ndarray, n: int, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many shingles a set of n can share at most with each of others, by their bitmaps.
+
+    A bit that only one side has stands for a shingle that only it has. The wider bitmaps are
+    folded to the width of the others.
+    """
+    while len(x) > rows.shape[1]:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while rows.shape[1] > len(x):
+        rows = rows[:, : rows.shape[1] // 2] | rows[:, rows.shape[1] // 2 :]
+    return np.minimum(n - np.bitwise_count(x & ~rows).sum(1), sizes - np.bitwise_count(rows & ~x).sum(1))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Every row of Arrow batches and the shingles of its last column."""
     for batch in batches:
@@ -46,7 +71,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield row, shingle_set(row[-1])
 
 
-MEMBER = "doc_id long, digest string, n_shingles long, node long, parts binary"
+MEMBER = "doc_id long, digest string, n_shingles long, node long, bits binary"
 
 
 def _survey(docs: DataFrame) -> DataFrame:
@@ -57,9 +82,8 @@ def _survey(docs: DataFrame) -> DataFrame:
         for doc_id, digest, text in rows:
             hashes = shingle_set(text)
             np.add.at(counts, (hashes >> np.uint64(44)).astype(np.int64), 1)
-            parts = np.bincount((hashes & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype("<u4")
             node = set_id(hashes) if len(hashes) else None
-            yield doc_id, digest, len(hashes), node, parts.tobytes(), None, None
+            yield doc_id, digest, len(hashes), node, bitmap(hashes), None, None
         for i, part in enumerate(np.split(counts, SLICES)):
             if part.any():
                 yield None, None, None, None, None, i, part.astype("<i8").tobytes()
@@ -235,44 +259,111 @@ def _first_pairs(shared: DataFrame) -> DataFrame:
     return best.select(F.col("node").alias("a"), "b").distinct()
 
 
+def _neighbours(shared: DataFrame) -> DataFrame:
+    """For each set the neighbour that it shares most shingles with, among those before it and after it.
+
+    The sets of a shingle stand in a random order of the shingle's own, and each meets the
+    NEIGHBOURS before it; so the rows made are in proportion to those read.
+    """
+
+    def run(batches):
+        held = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([np.asarray(column) for column in batch.columns])], axis=1)
+            for lag in range(1, NEIGHBOURS + 1):
+                # what is held has met what came before it
+                start = max(held.shape[1], lag)
+                x, y = rows[:, start:], rows[:, start - lag : rows.shape[1] - lag]
+                ok = (x[0] == y[0]) & (x[1] != y[1]) & _may_link(x[2], x[3], y[2], y[3])
+                yield np.minimum(x[1], y[1])[ok], np.maximum(x[1], y[1])[ok]
+            held = rows[:, -NEIGHBOURS:].copy()
+
+    order = F.xxhash64("gram", "node")
+    dealt = shared.select("gram", "node", "size", "place").repartition("gram").sortWithinPartitions("gram", order)
+    counts = map_columns(dealt, run, "a long, b long").groupBy("a", "b").count()
+    sides = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    both = counts.select("count", sides.alias("s")).select("s.*", "count")
+    best = both.groupBy("node").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def _may_link(n, place, m, other):
+    """The length and positional filters, for sizes and the places of a common shingle."""
+    most = np.minimum(place, other) + np.minimum(n - place, m - other)
+    need = -(-(n + m) * PERCENT // (100 + PERCENT))
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (most >= need)
+
+
 def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) -> DataFrame:
-    """All candidates between sets that share a shingle and are not in one component yet.
+    """``(a, b, score)``: candidates between sets that share a shingle and are not in one component yet.
 
-    A shingle whose sets are one component needs no more pairs. Of the others each set
-    outside the shingle's largest component meets the sets of other components.
+    A shingle whose sets are one component needs no more pairs. Of the others each set outside
+    the shingle's largest component meets the sets of other components, HELD or so of them in a
+    task, with all filters; only what passes leaves the task. ``score`` compares the most that
+    two sets can share with what they need.
     """
     own = F.when(F.col("base") != 0, F.col("base")).otherwise(F.col("gram")).alias("gram")
     entries = shared.select(own, "node", "size", "place").distinct()
     labelled = entries.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = labelled.groupBy("gram", "component").count()
     top = counts.groupBy("gram").agg(
-        F.max_by("component", F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("n")
+        F.max_by("component", F.struct("count", "component")).alias("top"),
+        F.count(F.lit(1)).alias("n"),
+        F.ceil(F.sum("count") / HELD).cast("int").alias("blocks"),
     )
     left = stored(labelled.join(top.where("n > 1").drop("n"), "gram"))
-    x = left.where("component <> top").select("gram", *(F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "component")))
-    y = left.select("gram", "top", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "component")))
-    met = x.join(y, "gram").where("x_component <> y_component and (y_component = top or x_node < y_node)")
-    sizes = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * PERCENT
-    most = F.least("x_place", "y_place") + F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
-    need = overlap(F.col("x_size"), F.col("y_size"))
-    pairs = met.where(sizes & (most >= need)).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-    return _suffix_filter(pairs.distinct(), members)
-
-
-def _suffix_filter(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Drop pairs whose shingles, counted in PARTS parts of the hash range, cannot overlap enough."""
-    sets = members.where("node is not null").groupBy("node").agg(F.first("parts").alias("parts"))
-    sets = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("x")), "a")
-    met = met.join(sets.select(F.col("node").alias("b"), F.col("parts").alias("y")), "b")
+    outside = F.col("component") != F.col("top")
+    place = [F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("role")]
+    every = [F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role")]
+    columns = ["gram", "node", "size", "place", "component", outside.alias("outside")]
+    dealt = left.select(*columns, *place).unionByName(left.where(outside).select(*columns, *every))
+    sets = members.where("node is not null").join(left.select("node").distinct(), "node", "left_semi")
+    met = dealt.join(sets.groupBy("node").agg(F.first("bits").alias("bits")), "node")
+    met = met.repartition("gram", "block").sortWithinPartitions("gram", "block", "role")
 
     def run(rows):
-        for a, b, x, y in rows:
-            x, y = np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
-            if np.minimum(x, y).sum() * (100 + PERCENT) >= PERCENT * (x.sum() + y.sum()):
-                yield a, b
-
-    return map_rows(met.select("a", "b", "x", "y"), run, "a long, b long")
+        key, there, tables = None, [], None
+        for gram, block, role, node, size, place, component, outside, bits in rows:
+            if (gram, block) != key:
+                key, there, tables = (gram, block), [], None
+            if not role:
+                there.append((node, size, place, component, outside, bits))
+                continue
+            if tables is None:
+                widths = {}
+                for row in there:
+                    widths.setdefault(len(row[-1]), []).append(row)
+                tables = [
+                    (*(np.array(x) for x in list(zip(*group))[:5]), np.frombuffer(b"".join(row[-1] for row in group), np.uint8).reshape(len(group), -1))
+                    for group in widths.values()
+                ]
+            x = np.frombuffer(bits, np.uint8)
+            for nodes, sizes, places, components, outer, matrix in tables:
+                # of two sets outside the largest component, the one with the larger id asks
+                ok = (components != component) & (~outer | (nodes < node)) & _may_link(size, place, sizes, places)
+                if not ok.any():
+                    continue
+                most = most_common(x, size, matrix[ok], sizes[ok])
+                need = -(-(size + sizes[ok]) * PERCENT // (100 + PERCENT))
+                for other, score in zip(nodes[ok][most >= need].tolist(), (1000 * most // need)[most >= need].tolist()):
+                    yield min(node, other), max(node, other), score
+
+    found = map_rows(met.select("gram", "block", "role", "node", "size", "place", "component", "outside", "bits"), run, "a long, b long, score long")
+    return found.groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of pairs ``(a, b, score)`` the best one of each set."""
+    best = F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")
+    return pairs.groupBy("a").agg(best).select("p.*").union(pairs.groupBy("b").agg(best).select("p.*")).distinct()
+
+
+def _still_open(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    for side in ("a", "b"):
+        named = components.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(named, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+    return pairs.where("of_a <> of_b").select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -282,10 +373,11 @@ def classes(docs: DataFrame) -> DataFrame:
     or null, is linked with nothing and has no group. Copies have equal sets and count as one
     set from the start; repeated rows and equal ids are documents of their own.
 
-    A first round compares each set with one other only, the hub that it shares most of its
-    shingles with; that joins groups of copies of any size without their pairs. A second one
-    compares all candidates that the first has left in different components, so no link that
-    would join two components is missed. Sets are named by 64-bit hashes.
+    A first round compares each set with a few others only: the hub and the neighbour that it
+    shares most of its shingles with; that joins groups of any size without their pairs. Then
+    all candidates that are still in different components are filtered, and those that pass
+    are compared: first the likeliest of each set, then all that are in different components
+    still. So no link that would join two components is missed. Sets are named by 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
     surveyed = _survey(docs)
@@ -295,10 +387,14 @@ def classes(docs: DataFrame) -> DataFrame:
     # the hubs of a salted shingle's parts meet under its own name
     hubs = shared.where("base <> 0 and node = hub")
     hubs = hubs.select(F.col("base").alias("gram"), F.lit(0).cast("long").alias("base"), "node", "size", "place")
-    first = _first_pairs(shared).unionByName(_first_pairs(_shared(hubs))).distinct()
-    links = verify(docs, stored(first))
-    second = stored(_open_pairs(shared, connected(links), members))
-    links = links.unionByName(verify(docs, second))
+    first = _first_pairs(shared).unionByName(_first_pairs(_shared(hubs)))
+    first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_neighbours(shared))
+    links = verify(docs, stored(first.distinct()))
+    found = stored(_open_pairs(shared, stored(connected(links)), members))
+    links = links.unionByName(verify(docs, stored(_likeliest(found))))
+    rest = stored(_still_open(found, stored(connected(links))))
+    if not rest.isEmpty():
+        links = links.unionByName(verify(docs, rest))
     groups = connected(links).withColumnRenamed("component", "group")
     joined = attach(members, groups, ["node"])
     return joined.select("doc_id", "digest", "n_shingles", F.coalesce("group", "node").alias("group"))
