@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import DOCUMENT, attach, map_columns, map_rows, null_free, stored
+from leafscan.llm.common import DOCUMENT, attach, map_columns, map_rows, null_free, small_batches, stored
 from leafscan.llm.graph import connected
 from leafscan.llm.shingles import mixed, set_id, shingle_set
 
@@ -32,8 +32,8 @@ BITS = 1 << 25
 LEAST_BYTES, MOST_BYTES = 16, 512
 # Neighbours of a set, in a random order of those that share a shingle, that it may first be compared with.
 NEIGHBOURS = 4
-# Sets of one shingle that a task holds at once.
-HELD = 256
+# Sets of one shingle that a task holds at once, and so few that they are compared one by one.
+HELD, FEW = 256, 8
 # Pairs with one common partner that are verified in one task.
 VERIFIED = 2_000
 
@@ -64,6 +64,22 @@ def most_common(x: np.ndarray, n: int, rows: np.ndarray, sizes: np.ndarray) -> n
     return np.minimum(n - np.bitwise_count(x & ~rows).sum(1), sizes - np.bitwise_count(rows & ~x).sum(1))
 
 
+def most_common_of_two(x: bytes, n: int, y: bytes, m: int) -> int:
+    """The same for two sets."""
+    width = 8 * min(len(x), len(y))
+    left, right = folded(x, width), folded(y, width)
+    return min(n - (left & ~right).bit_count(), m - (right & ~left).bit_count())
+
+
+def folded(raw: bytes, width: int) -> int:
+    """A bitmap, folded to so many bits."""
+    value, bits = int.from_bytes(raw, "little"), 8 * len(raw)
+    while bits > width:
+        bits //= 2
+        value = value & ((1 << bits) - 1) | value >> bits
+    return value
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Every row of Arrow batches and the shingles of its last column."""
     for batch in batches:
@@ -200,29 +216,35 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` for the given sets, once or a few times each; others may be among them."""
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
-
-    def run(rows):
-        wanted, seen = bits.value, set()
-        for (text,) in rows:
-            hashes = shingle_set(text)
-            if not len(hashes):
-                continue
-            node = set_id(hashes)
-            place = node % BITS
-            if node in seen or not wanted[place >> 3] >> (place & 7) & 1:
-                continue
-            if len(seen) >= 100_000:
-                seen.clear()
-            seen.add(node)
-            yield node, text
-
-    return map_rows(docs.select(null_free()), run, "node long, text string")
+def _texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """``(digest, text)`` for the given digests, once or a few times each; others may be among them.
 
+    Texts are told apart by the digest that Spark computes; none is cut into words here.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted(digests.select(F.xxhash64("digest").alias("node"))))
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    def run(batches):
+        wanted, seen = bits.value, set()
+        for batch in batches:
+            places = np.asarray(batch.column(2))
+            hits = np.flatnonzero(wanted[places >> 3] >> (places & 7) & 1)
+            found = []
+            for i, digest in zip(hits.tolist(), batch.column(0).take(pa.array(hits)).to_pylist()):
+                if digest not in seen:
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(digest)
+                    found.append(i)
+            if found:
+                yield batch.select([0, 1]).take(pa.array(found))
+
+    small_batches(docs.sparkSession)
+    digest = F.md5(null_free())
+    source = docs.select(digest.alias("digest"), null_free().alias("text"), F.pmod(F.xxhash64(digest), F.lit(BITS)).alias("place"))
+    return source.mapInArrow(run, "digest string, text string")
+
+
+def verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct pairs ``(a, b)`` of sets whose likeness reaches the threshold.
 
     The text of ``b`` meets those of its partners, VERIFIED or so at a time, one by one.
@@ -235,7 +257,9 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = dealt.select(F.col("a").alias("node"), "b", "block", F.lit(1).alias("member"))
     hubs = dealt.select(F.col("b").alias("node"), "b", "block", F.lit(0).alias("member")).distinct()
     rows = rows.unionByName(hubs)
-    met = rows.join(_texts(docs, rows.select("node").distinct()), "node")
+    known = members.where("node is not null").join(rows.select("node").distinct(), "node", "left_semi")
+    known = stored(known.groupBy("node").agg(F.min("digest").alias("digest")))
+    met = rows.join(known, "node").join(_texts(docs, known), "digest")
 
     def run(rows):
         key, hub, last = None, None, None
@@ -329,6 +353,16 @@ def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) ->
             if not role:
                 there.append((node, size, place, component, outside, bits))
                 continue
+            if len(there) <= FEW:
+                for other, m, at, of, outer, their in there:
+                    if of == component or outer and other >= node or 100 * min(size, m) < PERCENT * max(size, m):
+                        continue
+                    need = -(-(size + m) * PERCENT // (100 + PERCENT))
+                    if min(place, at) + min(size - place, m - at) >= need:
+                        most = most_common_of_two(bits, size, their, m)
+                        if most >= need:
+                            yield min(node, other), max(node, other), 1000 * most // need
+                continue
             if tables is None:
                 widths = {}
                 for row in there:
@@ -389,12 +423,12 @@ def classes(docs: DataFrame) -> DataFrame:
     hubs = hubs.select(F.col("base").alias("gram"), F.lit(0).cast("long").alias("base"), "node", "size", "place")
     first = _first_pairs(shared).unionByName(_first_pairs(_shared(hubs)))
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_neighbours(shared))
-    links = verify(docs, stored(first.distinct()))
+    links = verify(docs, members, stored(first.distinct()))
     found = stored(_open_pairs(shared, stored(connected(links)), members))
-    links = links.unionByName(verify(docs, stored(_likeliest(found))))
+    links = links.unionByName(verify(docs, members, stored(_likeliest(found))))
     rest = stored(_still_open(found, stored(connected(links))))
     if not rest.isEmpty():
-        links = links.unionByName(verify(docs, rest))
+        links = links.unionByName(verify(docs, members, rest))
     groups = connected(links).withColumnRenamed("component", "group")
     joined = attach(members, groups, ["node"])
     return joined.select("doc_id", "digest", "n_shingles", F.coalesce("group", "node").alias("group"))
