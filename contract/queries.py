@@ -205,9 +205,8 @@ def lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows joined to their pages by id."""
     index = catalogue(spark, sf_dir)
-    fts = index.fts.select("row_id", "id", F.col("name").alias("text_name"), "content")
-    joined = fts.join(index.page.select("id", "name", "description", "path"), "id")
-    return joined.withColumn("digest", F.md5("content")).drop("content")
+    fts = index.fts.select("row_id", "id", F.col("name").alias("text_name"), F.md5("content").alias("digest"))
+    return fts.join(index.page.select("id", "name", "description", "path"), "id")
 
 
 @registered

@@ -90,10 +90,10 @@ def ingest_texts(
     derive: bool = False,
     codec: str = "zstd",
 ) -> Index:
-    """Add decoded pages ``(path, raw)``, with unique paths, as one batch.
+    """Add decoded pages ``(path, raw)`` as one batch.
 
-    Unless ``faithful``, none of the paths may be in the catalogue already. Every table
-    gets the batch as a folder of its own and ``commits`` comes last: a run that dies
+    A path that comes twice is one page, and unless ``faithful`` a path that the catalogue
+    holds already is skipped. Every table gets the batch as a folder of its own and ``commits`` comes last: a run that dies
     before that leaves nothing visible, and the next run writes over it.
     """
     index = load_index(spark, directory)
@@ -103,23 +103,30 @@ def ingest_texts(
         F.octet_length("content").alias("n_bytes"),
         gram_count(F.col("name"), F.col("content")).alias("n_grams"),
     ]
-    extracted = extract(decoded, derive).select("*", *sizes)
+    extracted = extract(decoded, derive).select("*", *sizes, F.monotonically_increasing_id().alias("_row"))
     extracted.write.mode("overwrite").option("compression", codec).parquet(staged_path)
     staged = spark.read.schema(extracted.schema).parquet(staged_path)
 
     good = staged.where(F.col("content").isNotNull())
-    totals = staged.agg(
+    # one row for each path, chosen by keys alone; the stored row number tells its text
+    kept = good.groupBy("path").agg(
+        F.min(F.struct("_row", "name", "description", "section", "last_modified", "n_bytes", "n_grams")).alias("first")
+    )
+    kept = kept.select("path", "first.*")
+    if index.n_pages and not faithful:
+        kept = kept.join(index.page.select("path"), "path", "left_anti")
+    totals = kept.agg(
         F.count("n_bytes").alias("n_rows"),
         F.coalesce(F.sum("n_grams"), F.lit(0)).alias("n_grams"),
         F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("raw_bytes"),
-        F.count_if(F.col("n_bytes").isNull()).alias("n_dropped"),
     ).first()
+    n_dropped = staged.where(F.col("n_bytes").isNull()).count()
     if not totals["n_rows"]:
         drop_path(spark, staged_path)
         return index
 
     # rows keep no content until the ids are known
-    slim = good.select("path", "name", "description", "section", "last_modified")
+    slim = kept.select("path", "_row", "name", "description", "section", "last_modified")
     rows = assign_ids(slim, index.max_row_id, column="row_id")
     if faithful and index.n_pages:
         fresh = rows.join(index.page.select("path"), "path", "left_anti")
@@ -137,8 +144,8 @@ def ingest_texts(
     if index.n_pages:
         known = index.page.select("path", "name", "id", "description")
         named = named.unionByName(known.join(rows.select("name").distinct(), "name", "left_semi"))
-    keys = rows.select("path", "row_id").join(first_pages(named), "path")
-    texts = good.select("path", "name", "content").join(keys, "path")
+    keys = rows.select("path", "_row", "row_id").join(first_pages(named), "path")
+    texts = good.select("path", "_row", "name", "content").join(keys, ["path", "_row"])
     texts = texts.select("row_id", "id", "name", "description", "content", block("row_id"))
     write_batch(texts, directory, "fts", batch, codec)
 
@@ -154,7 +161,7 @@ def ingest_texts(
         n_pages,
         totals["n_rows"],
         totals["n_grams"],
-        totals["n_dropped"],
+        n_dropped,
         totals["raw_bytes"],
         index.max_id + n_pages,
         index.max_row_id + totals["n_rows"],

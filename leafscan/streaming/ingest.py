@@ -31,13 +31,13 @@ def ingest_available(
         reader = spark.readStream.format("binaryFile").schema(BINARY)
         reader = reader.option("pathGlobFilter", "*gz").option("maxFilesPerTrigger", max_files)
         reader = reader.option("maxFileAge", max_file_age)
-        return reader.load(f"{_escaped(root.rstrip('/'))}/man*")
+        return reader.load(f"{_escaped(root)}/man*")
 
     def add(files: DataFrame, _epoch: int) -> None:
         if not files.select("path").isEmpty():
             fresh = unknown_files(files, load_index(files.sparkSession, directory))
             ingest_texts(files.sparkSession, decode_all(fresh), directory)
 
-    files = plain_path(reduce(DataFrame.unionByName, map(stream, sorted(set(roots)))))
+    files = plain_path(reduce(DataFrame.unionByName, map(stream, sorted({root.rstrip("/") for root in roots}))))
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()

@@ -179,3 +179,22 @@ def test_incremental_ingest(spark, tree, tmp_path):
     # progress lost: everything is seen again and nothing is added
     ingest_available(spark, roots, folder, str(tmp_path / "other"))
     assert tables.load_index(spark, folder).fts.count() == 9
+
+
+def test_a_path_is_one_page(spark, tmp_path):
+    folder = str(tmp_path / "catalogue")
+    tables.ensure_tables(spark, folder)
+    texts = spark.createDataFrame([("/a", "one"), ("/a", "again"), ("/b", "two")], "path string, raw string")
+    ingest_texts(spark, texts.coalesce(1), folder)
+    more = spark.createDataFrame([("/a", "late"), ("/c", "new"), ("/c", "new")], "path string, raw string")
+    index = ingest_texts(spark, more, folder)
+    assert sorted(row["path"] for row in index.page.collect()) == ["/a", "/b", "/c"]
+    assert sorted(row["content"] for row in index.fts.collect()) == ["new", "one", "two"]
+    assert (index.n_pages, index.n_rows) == (3, 3)
+
+
+def test_one_root_given_twice(spark, tree, tmp_path):
+    folder, root = str(tmp_path / "catalogue"), str(tree[1])
+    ingest_available(spark, [root, f"{root}/"], folder, str(tmp_path / "progress"))
+    index = tables.load_index(spark, folder)
+    assert (index.page.count(), index.fts.count(), index.n_rows) == (1, 1, 1)
