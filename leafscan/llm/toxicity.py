@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import repeat
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -30,8 +31,9 @@ FEATURES = (
 ).split()
 
 _word = re.compile(r"[^\x20\x09-\x0D]+")
-_obfuscated = re.compile(r"(?i)[^\W\d_][0-9@$*!#+]+[^\W\d_]")
+_other_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _stretched = re.compile(r"(.)\1\1")
+_signs = re.compile(r"[0-9@$*!#+]+")
 _edges = ".,;:!?\"'()[]"
 
 
@@ -65,32 +67,51 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
     return found
 
 
-def features(text: str, entries: dict[str, float]) -> tuple[float, ...]:
-    """Densities and rates of one text, in the order of FEATURES."""
-    raw = _word.findall(text)
-    words = [word.strip(_edges).lower() for word in raw]
+def words_of(text: str) -> list[str]:
+    """Words as the pattern finds them; a plain split where no other white space is about."""
+    return _word.findall(text) if _other_space.search(text) else text.split()
+
+
+def obfuscated(text: str) -> int:
+    """Places where digits or signs stand between two letters; a letter counts for one of them."""
+    n, end = 0, 0
+    for run in _signs.finditer(text):
+        i, j = run.span()
+        if i > end and j < len(text) and _letter(text[i - 1]) and _letter(text[j]):
+            n, end = n + 1, j + 1
+    return n
+
+
+def _letter(char: str) -> bool:
+    return char.isalnum() and not char.isdecimal()
+
+
+def features(text: str, entries: dict[str, float], starts: dict[str, float]) -> tuple[float, ...]:
+    """Densities and rates of one text, in the order of FEATURES; ``starts`` has beginnings of words."""
+    words = list(map(str.strip, words_of(text.lower()), repeat(_edges)))
     n, size = max(len(words), 1), max(len(text), 1)
-    strength = [entries.get(word, 0.0) for word in words]
-    starts = [entries.get(f"{word[:START]}-", 0.0) if len(word) > START else 0.0 for word in words]
+    strength = list(map(entries.get, words))
     hits = [i for i, value in enumerate(strength) if value]
+    begun = [value for value in [starts.get(word[:START]) for word in words if len(word) > START] if value]
     second = [i for i, word in enumerate(words) if word in SECOND]
     spots = set(second)
-    near = sum(any(i + d in spots for d in range(-NEAR, NEAR + 1)) for i in hits)
-    capitals = sum(map(str.isupper, text))
+    near = sum(any(i + d in spots for d in range(-NEAR, NEAR + 1)) for i in hits) if spots else 0
+    large = [char for char in set(text) if char.isupper()]
+    shouted = [word for word in words_of(text) if len(word) > 1 and word.isupper()] if large else []
     return (
         math.log1p(len(words)),
         len(hits) / n,
-        sum(1 for value in starts if value) / n,
+        len(begun) / n,
         math.log1p(len(hits)),
-        max(strength + starts, default=0.0),
+        max([*(strength[i] for i in hits), *begun], default=0.0),
         near / n,
         len(second) / n,
-        capitals / size,
-        sum(1 for word in raw if len(word) > 1 and word.isupper()) / n,
+        sum(map(text.count, large)) / size,
+        len(shouted) / n,
         (text.count("!") + text.count("?")) / size,
         sum(map(text.count, ".,;:'\"-")) / size,
         sum(map(text.count, "0123456789")) / size,
-        len(_obfuscated.findall(text)) / n,
+        obfuscated(text) / n,
         len(_stretched.findall(text)) / n,
     )
 
@@ -101,8 +122,9 @@ def featured(rows: DataFrame, columns: tuple[str, ...], entries: dict[str, float
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in picked.drop("_text").schema]
 
     def run(batch):
+        starts = {item[:-1]: value for item, value in entries.items() if item.endswith("-")}
         for row in batch:
-            yield *row[:-1], *features(row[-1], entries)
+            yield *row[:-1], *features(row[-1], entries, starts)
 
     table = map_rows(picked, run, ", ".join([*kinds, *(f"{name} double" for name in FEATURES)]))
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
