@@ -187,8 +187,8 @@ ORACLE: dict[str, str] = {
     r"regexp_matches(text, '(?:^|[^\pL\pM\p{Nd}\p{Pc}])thou(?:$|[^\pL\pM\p{Nd}\p{Pc}])') AS word, "
     "regexp_matches(text, '[éèê]{2}') AS accent, "
     r"regexp_matches(text, '(?m)^[A-Z][\pL\pM\p{Nd}\p{Pc}]+\.$') AS line, "
-    "regexp_matches(text, '(?i)THOU') AS fold FROM documents",
-    "regex_invalid": "SELECT doc_id FROM documents WHERE false",
+    "regexp_matches(text, '(?i)THOU') AS fold, contains(text, 'zzzz') AS chosen FROM documents",
+    "regex_invalid": "SELECT doc_id, false AS unclosed, false AS ahead, false AS again, false AS nothing FROM documents",
     "regexp_function": "SELECT p_partkey, regexp_matches(p_name, 'e[dt] ?') AS fixed, "
     "regexp_matches(p_name, '^' || split_part(p_name, ' ', 1) || ' [b-r]') AS own FROM part",
     "glob_columns": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, "

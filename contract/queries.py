@@ -63,6 +63,7 @@ TEXT_REGEXES = {
     "accent": r"[éèê]{2}",
     "line": r"(?m)^[A-Z]\w+\.$",
     "fold": r"(?i)THOU",
+    "chosen": r"(?:\w|\s)*zzzz",
 }
 RARE, COMMON, NAMED = "hahahe", "thou", "nth"
 FLAGGED = (RARE, NAMED, "no such text")
@@ -165,9 +166,9 @@ def regex_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def regex_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns outside the dialect match nothing and do not fail."""
-    documents = table(spark, sf_dir, "documents")
-    tests = [regex_match(spark, F.col("text"), p) for p in ("(", "a(?=b)", r"(a)\1", "*a")]
-    return documents.where(tests[0] | tests[1] | tests[2] | tests[3]).select("doc_id")
+    bad = {"unclosed": "(", "ahead": "a(?=b)", "again": r"(a)\1", "nothing": "*a"}
+    tests = {name: regex_match(spark, F.col("text"), p) for name, p in bad.items()}
+    return flags(table(spark, sf_dir, "documents"), "doc_id", tests)
 
 
 @registered

@@ -23,6 +23,10 @@ class PatternError(ValueError):
     """The pattern is not valid in the dialect."""
 
 
+class One(str):
+    """A piece that matches exactly one character and may stand in a bracket class."""
+
+
 # ASCII bracket classes.
 ASCII_CLASSES = {
     "alnum": "0-9A-Za-z",
@@ -133,9 +137,12 @@ def to_java(pattern: str) -> str:
             continue
         repeated, begin = False, len(out)
         if char == "\\":
+            edge = ESCAPE.match(pattern, at)
             piece, at = _escape(pattern, at, False)
+            piece = piece if edge["edge"] else One(piece)
         elif char == "[":
             piece, at = _bracket(pattern, at, flags[-1]["x"])
+            piece = One(piece)
         elif char == "(":
             group = GROUP.match(pattern, at)
             at = group.end()
@@ -162,10 +169,17 @@ def to_java(pattern: str) -> str:
         elif char == ")":
             if not starts:
                 raise PatternError("unopened group")
-            out.append(")")
             flags.pop()
             atoms.pop()
-            atoms[-1] = starts.pop()
+            atoms[-1] = start = starts.pop()
+            inner = out[start + 1 :]
+            if out[start] == "(?:" and len(inner) % 2 and all(
+                p == "|" if i % 2 else isinstance(p, One) for i, p in enumerate(inner)
+            ):
+                # a choice of single characters is a class, which the JVM repeats without recursion
+                out[start:] = [One(f"[{''.join(inner[::2])}]")]
+            else:
+                out.append(")")
             at += 1
             continue
         elif char == "|":
@@ -181,7 +195,7 @@ def to_java(pattern: str) -> str:
         elif char == "{":
             raise PatternError("unclosed repetition")
         else:
-            piece, at = quote(char), at + 1
+            piece, at = One(quote(char)), at + 1
         out.append(piece)
         atoms[-1] = begin
     if starts:

@@ -6,9 +6,12 @@ import logging
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -42,25 +45,106 @@ def plain_path(df: DataFrame) -> DataFrame:
     return df.withColumn("path", F.regexp_replace("path", "^file:(?://)?", ""))
 
 
+def distinct_roots(spark: SparkSession, roots: list[str]) -> list[str]:
+    """Roots as the paths under them begin; one that cannot be resolved is skipped."""
+    conf, found = spark._jsparkSession.sessionState().newHadoopConf(), set()
+    for root in roots:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+            full = path.getFileSystem(conf).makeQualified(path).toString()
+        except Exception as error:  # no file system of that name
+            log.warning("skipping %s: %s", root, str(error).splitlines()[0])
+            continue
+        found.add(re.sub("^file:(?://)?", "", full))
+    return sorted(found)
+
+
+def in_section(path: Column, root: str) -> Column:
+    """Whether a path is that of a file directly in a ``man*`` folder directly under the root."""
+    start = f"{root.rstrip('/')}/man"
+    rest = F.substring(path, len(start) + 1, 1 << 30)
+    slashes = F.length(rest) - F.length(F.replace(rest, F.lit("/"), F.lit("")))
+    return F.startswith(path, F.lit(start)) & (slashes == 1)
+
+
 def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
     """``(path, modificationTime, length, content)`` of every ``man*/*gz`` under the roots.
 
-    The folders are distinct and are not searched deeper, so no path comes twice and no
-    shuffle is needed to make sure. Spark reads ``content`` only where it is selected.
+    Each path comes once, without a shuffle to make sure: the index of Spark's reader holds
+    a file once. Folders are listed without taking ``k=v`` for a partition; what lies deeper
+    is left out. Spark reads ``content`` only where it is selected.
     """
+    roots = distinct_roots(spark, roots)
     dirs = section_dirs(spark, roots)
     if not dirs:
         return spark.createDataFrame([], BINARY)
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*gz")
-    return plain_path(reader.load([_escaped(path) for path in dirs]))
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*gz").option("recursiveFileLookup", "true")
+    found = plain_path(reader.load([_escaped(path) for path in dirs]))
+    found = found.where(reduce(or_, (in_section(F.col("path"), root) for root in roots)))
+    return found.unionByName(hidden_files(spark, roots))
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's file index leaves a file of this name out."""
+    named = name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+    return named or name.startswith(".")
+
+
+def hidden_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The page files whose names begin with ``_`` or ``.``, with the columns of ``discover``.
+
+    Spark's reader never lists them. Such names are few: the driver lists them, and tasks open them.
+    """
+    path_of, conf, found = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf(), []
+    for folder in section_dirs(spark, roots):
+        pattern = path_of(f"{_escaped(folder)}/[._]*gz")
+        try:
+            found += pattern.getFileSystem(conf).globStatus(pattern) or []
+        except Exception as error:  # a folder without permission
+            log.warning("skipping %s: %s", folder, str(error).splitlines()[0])
+    return _opened(spark, [status for status in found if _hidden(status.getPath().getName())])
+
+
+def _opened(spark: SparkSession, statuses: list) -> DataFrame:
+    """Files of the given states, opened in tasks; those without a byte are left out, as Spark does."""
+    rows = [
+        (status.getPath().toString(), status.getModificationTime(), status.getLen())
+        for status in statuses
+        if status.isFile() and status.getLen()
+    ]
+    if not rows:
+        return spark.createDataFrame([], BINARY)
+    listed = plain_path(spark.createDataFrame(rows, "path string, mtime long, length long"))
+    read = listed.mapInArrow(_read, "path string, mtime long, length long, content binary")
+    return read.select("path", F.timestamp_millis("mtime").alias("modificationTime"), "length", "content")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, path in enumerate(batch.column(0).to_pylist()):
+            local = path.startswith("/")
+            store, place = (fs.LocalFileSystem(), path) if local else fs.FileSystem.from_uri(path)
+            with store.open_input_stream(place, compression=None) as file:
+                content = pa.array([file.read()], pa.binary())
+            names = ["path", "mtime", "length", "content"]
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, content], names=names)
 
 
 def named_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Given files, with the columns of ``discover``; a path without a scheme is local."""
     if not paths:
         return spark.createDataFrame([], BINARY)
-    full = [_escaped(f"file:{path}" if path.startswith("/") else path) for path in paths]
-    return plain_path(spark.read.format("binaryFile").load(full))
+    full = [f"file:{path}" if path.startswith("/") else path for path in paths]
+    hidden = [path for path in full if _hidden(path.rsplit("/", 1)[-1])]
+    conf, states = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for name in hidden:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        states.append(path.getFileSystem(conf).getFileStatus(path))
+    listed = [_escaped(path) for path in full if path not in set(hidden)]
+    opened = _opened(spark, states)
+    if not listed:
+        return opened
+    return plain_path(spark.read.format("binaryFile").load(listed)).unionByName(opened)
 
 
 def gunzip(data: bytes) -> bytes | None:

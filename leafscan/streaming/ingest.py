@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafscan.plans.build import ingest_texts, unknown_files
-from leafscan.sources.files import BINARY, _escaped, decode_all, plain_path
+from leafscan.sources.files import BINARY, _escaped, decode_all, distinct_roots, hidden_files, in_section, plain_path
 from leafscan.sources.tables import ensure_tables, load_index
 
 
@@ -23,21 +24,25 @@ def ingest_available(
 
     The stream remembers which files it has seen, and each micro-batch skips paths the
     catalogue already holds, so a batch that is replayed after a failure adds nothing
-    twice. Files count as new whatever their age, up to ``max_file_age``.
+    twice. Files count as new whatever their age, up to ``max_file_age``. Files whose names
+    begin with ``_`` or ``.``, which no stream sees, follow as a batch of their own.
     """
     ensure_tables(spark, directory)
 
     def stream(root: str) -> DataFrame:
         reader = spark.readStream.format("binaryFile").schema(BINARY)
         reader = reader.option("pathGlobFilter", "*gz").option("maxFilesPerTrigger", max_files)
-        reader = reader.option("maxFileAge", max_file_age)
-        return reader.load(f"{_escaped(root)}/man*")
+        reader = reader.option("maxFileAge", max_file_age).option("recursiveFileLookup", "true")
+        found = plain_path(reader.load(f"{_escaped(root)}/man*"))
+        return found.where(in_section(F.col("path"), root))
 
     def add(files: DataFrame, _epoch: int) -> None:
         if not files.select("path").isEmpty():
             fresh = unknown_files(files, load_index(files.sparkSession, directory))
             ingest_texts(files.sparkSession, decode_all(fresh), directory)
 
-    files = plain_path(reduce(DataFrame.unionByName, map(stream, sorted({root.rstrip("/") for root in roots}))))
+    roots = distinct_roots(spark, roots)
+    files = reduce(DataFrame.unionByName, map(stream, roots))
     writer = files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
+    add(hidden_files(spark, roots), 0)

@@ -198,3 +198,28 @@ def test_one_root_given_twice(spark, tree, tmp_path):
     ingest_available(spark, [root, f"{root}/"], folder, str(tmp_path / "progress"))
     index = tables.load_index(spark, folder)
     assert (index.page.count(), index.fts.count(), index.n_rows) == (1, 1, 1)
+
+
+@pytest.mark.parametrize("route", ["build", "stream"])
+def test_every_page_file_once(spark, tmp_path, route):
+    """Names that Spark hides, a folder like a partition, one root named twice, a file like a section."""
+    root, folder = tmp_path / "root", str(tmp_path / "index")
+    for name in ("_exit.2.gz", ".x.2.gz", "_a=b.2.gz", "read.2.gz"):
+        put(root / "man2" / name, gzip.compress(name.encode()))
+    put(root / "man2/k=v/deep.2.gz", gzip.compress(b"deep"))
+    put(root / "man2/man3/deep.3.gz", gzip.compress(b"deep"))
+    put(root / "man3/j=w/deep.3.gz", gzip.compress(b"deep"))
+    put(root / "manual.gz", gzip.compress(b"manual"))
+    put(root / "_man2/out.gz", gzip.compress(b"out"))
+    roots = [str(root), f"{root}/"]
+    for _ in range(2):
+        if route == "build":
+            index = build(spark, roots, folder)
+        else:
+            ingest_available(spark, roots, folder, str(tmp_path / "progress"))
+            index = tables.load_index(spark, folder)
+    wanted = sorted(f"{root}/man2/{name}" for name in ("_exit.2.gz", ".x.2.gz", "_a=b.2.gz", "read.2.gz"))
+    assert sorted(r.path for r in index.page.select("path").collect()) == wanted
+    texts = sorted(r.content.strip() for r in index.fts.select("content").collect())
+    assert texts == sorted(("_exit.2.gz", ".x.2.gz", "_a=b.2.gz", "read.2.gz"))
+    assert index.n_pages == index.n_rows == 4

@@ -169,3 +169,17 @@ def test_invalid_regex_matches_nothing(spark):
     rows = spark.createDataFrame([("a",)], "v string")
     for pattern in ("(", r"\p{Nonsense}", "b{3,2}"):
         assert rows.where(regex_match(spark, F.col("v"), pattern)).count() == 0
+
+
+def test_repeated_choice_of_characters_over_long_text(spark):
+    """Such a group becomes a class; as a group it would overflow the JVM's stack."""
+    assert "|" not in to_java(r"(?:\w|\s|[^a-z]|(?:x|y))*z")
+    assert "|" in to_java(r"(?:ab|c)*z") and "|" in to_java(r"(?:\b|c)z")
+    text = F.repeat(F.lit("ab "), 10_000)
+    row = spark.range(1).select(
+        F.concat(text, F.lit("zzzz")).rlike(to_java(r"^(?:\w|\s)*zzzz$")).alias("hit"),
+        text.rlike(to_java(r"^(?:\w|\s)*zzzz")).alias("miss"),
+        F.lit("a-b]c^").rlike(to_java(r"^(a|-|\]|\^|[b-c])+$")).alias("signs"),
+        F.lit("a&&b").rlike(to_java(r"^(?:a|&|&|b)+$")).alias("ands"),
+    ).first()
+    assert row.asDict() == {"hit": True, "miss": False, "signs": True, "ands": True}
