@@ -81,6 +81,27 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     return left.join(other, same, how).drop(*(f"_{k}" for k in keys))
 
 
+# A key of more rows may be joined apart from the others.
+FREQUENT = 10_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Inner join with a stored table that has one row for each key, and how many rows have it.
+
+    Rows of frequent keys stay where they are and get their match by broadcast. The least
+    count that makes a key frequent grows with the total, so that at most BROADCAST_ROWS
+    keys can reach it. All others are shuffled.
+    """
+    total = counted.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    least = max(FREQUENT, total // BROADCAST_ROWS)
+    often = counted.where(F.col(count) > least)
+    if often.isEmpty():
+        return rows.join(counted, keys)
+    often = F.broadcast(often)
+    seldom = rows.join(often.select(*keys), keys, "left_anti").join(counted.where(F.col(count) <= least), keys)
+    return rows.join(often, keys).unionByName(seldom)
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Add the sum of ``value`` over the rows that come before within their keys.
 

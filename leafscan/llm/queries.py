@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe, chat, fingerprints, jaccard, mixing, nbsvm, quality_rules, suffix_tree, suffixes, toxicity
+from leafscan.llm import (
+    automata,
+    bpe,
+    chat,
+    fingerprints,
+    jaccard,
+    mixing,
+    nbsvm,
+    quality_rules,
+    runs,
+    suffix_tree,
+    suffixes,
+    toxicity,
+    variants,
+)
 from leafscan.llm.common import table
 from leafscan.llm.oracle import CHAT, MIXING, QUALITY_RULES
 
@@ -57,6 +71,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.collapse(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -68,5 +94,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLE = {"op2_quality_rules": QUALITY_RULES, "op3_mixing": MIXING, "op5_chat": CHAT}

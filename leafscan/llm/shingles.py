@@ -11,6 +11,8 @@ _seeded = np.random.default_rng(20240)
 _odd = lambda n: _seeded.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 _SYMBOLS, _SHIFTS, _BASE = _odd(256), _odd(WIDTH), _odd(1)[0]
 _SYMBOLS[ord("A") : ord("Z") + 1] = _SYMBOLS[ord("a") : ord("z") + 1]
+# The same with upper and lower case apart.
+CASED = _odd(256)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # Text that is hashed at once, in bytes; a longer one is cut at white space.
@@ -36,8 +38,8 @@ def _blocks(raw: np.ndarray):
     yield raw[start:]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word of a text, in order, with A-Z as a-z."""
+def word_hashes(text: str, symbols: np.ndarray = _SYMBOLS) -> np.ndarray:
+    """A hash of each word of a text, in order; A-Z count as a-z unless ``symbols`` is CASED."""
     out = []
     for raw in _blocks(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)):
         space = _SPACE[raw]
@@ -50,7 +52,7 @@ def word_hashes(text: str) -> np.ndarray:
         place[: starts[0]] = 0
         powers = np.full(int(place.max()) + 1, _BASE, np.uint64)
         powers[0] = 1
-        values = _SYMBOLS[raw] * np.cumprod(powers)[place]
+        values = symbols[raw] * np.cumprod(powers)[place]
         values[space] = 0
         out.append(mixed(np.add.reduceat(values, starts)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
