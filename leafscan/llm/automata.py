@@ -39,7 +39,9 @@ REACH = LENGTH - GRAM + 1
 SHARD, CROWD = 4_000, 2_000
 KEYS = ["node", "other"]
 _seeded = np.random.default_rng(353)
-_FACTORS = _seeded.integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
+_FACTORS = _seeded.integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
+# Odd factors, and what undoes them modulo 2^64.
+_POWERS = [(factor, np.uint64(pow(int(factor), -1, 1 << 64))) for factor in _FACTORS[1:]]
 
 
 class SuffixAutomaton:
@@ -141,15 +143,14 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def stretch_names(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes that together name the words of each stretch, from ``first`` to the end of
-    the window at ``last``."""
-    out, width = [], last - first + LENGTH
-    for factor in _FACTORS[1:3]:
-        sums = np.zeros(len(first), np.uint64)
-        for i in range(LENGTH + REACH - 1):
-            inside = i < width
-            word = hashes[np.where(inside, first + i, 0)]
-            sums = np.where(inside, sums * factor + word, sums)
-        out.append(mixed(sums + width.astype(np.uint64)).view(np.int64))
+    the window at ``last``: sums of words times powers, all from the running sums of a text."""
+    out, end = [], last + LENGTH
+    for factor, inverse in _POWERS:
+        up, down = (np.full(len(hashes) + 1, base, np.uint64) for base in (factor, inverse))
+        up[0] = down[0] = 1
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * np.cumprod(up[:-1]))])
+        named = (sums[end] - sums[first]) * np.cumprod(down)[first] + (end - first).astype(np.uint64)
+        out.append(mixed(named).view(np.int64))
     return out[0], out[1]
 
 
@@ -283,8 +284,8 @@ def _found(surveyed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 REMOVED = "node long, other long, n_removed long, kept_sha256 string, kept binary"
 
 
-def _removed(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """What is left of each text with repeated words, once for each text."""
+def _removed(texts: DataFrame, found: DataFrame, keep: bool) -> DataFrame:
+    """What is left of each text with repeated words, once for each text; its words if they are asked for."""
     spans = found.groupBy(*KEYS).agg(F.collect_list(F.array("begin", "end")).alias("spans"))
     met = texts.join(spans.hint("merge"), KEYS).sortWithinPartitions(*KEYS)
 
@@ -300,13 +301,27 @@ def _removed(texts: DataFrame, found: DataFrame) -> DataFrame:
                 reached = max(reached, end)
             kept += words[reached:]
             left = b" ".join(kept)
-            yield node, other, len(words) - len(kept), sha256(left).hexdigest(), left
+            yield node, other, len(words) - len(kept), sha256(left).hexdigest(), left if keep else None
 
-    return stored(map_rows(met.select(*KEYS, "words", "spans"), run, REMOVED))
+    return map_rows(met.select(*KEYS, "words", "spans"), run, REMOVED)
+
+
+def _resolved(docs: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame]:
+    """All documents, and what is left of the texts that are cut: wholly where others have
+    the same words, else by their repeated windows."""
+    surveyed = _survey(docs.select("doc_id", "text"))
+    copies = surveyed.groupBy(*KEYS, "n_words").agg(F.count(F.lit(1)).alias("n"))
+    copies = stored(copies.where((F.col("n") > 1) & (F.col("n_words") >= LENGTH)).select(*KEYS, "n_words"))
+    spans, texts = _found(surveyed, docs)
+    own = attach(spans, copies.select(*KEYS, F.lit(True).alias("copied")), KEYS).where("copied is null").drop("copied")
+    nothing = F.lit(b"")
+    gone = copies.withColumn("kept_sha256", F.sha2(nothing, 256)).withColumn("kept", nothing)
+    cut = stored(_removed(texts, own, keep).unionByName(gone.withColumnRenamed("n_words", "n_removed")))
+    return surveyed.select("doc_id", *KEYS, "n_words", "sha256"), cut
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, kept)`` for every row of ``(doc_id, text)``.
+    """``(doc_id, n_words, n_removed, kept)`` for every row of ``(doc_id, text)``.
 
     A word is removed if a window of LENGTH words that covers it starts anywhere else too, in
     this or another document; windows are judged on the texts as they come. ``kept`` holds the
@@ -315,20 +330,14 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     so nothing is left of them if they have LENGTH words; repeated rows and null ids count as
     documents of their own. A null text, or one without words, has no words.
     """
-    surveyed = _survey(docs.select("doc_id", "text"))
-    copies = surveyed.groupBy(*KEYS, "n_words").agg(F.count(F.lit(1)).alias("n"))
-    copies = stored(copies.where((F.col("n") > 1) & (F.col("n_words") >= LENGTH)).select(*KEYS))
-    spans, texts = _found(surveyed, docs)
-    own = attach(spans, copies.withColumn("copied", F.lit(True)), KEYS).where("copied is null").drop("copied")
-    removed = _removed(texts, own)
-    gone = copies.select(*KEYS, F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit("").cast("binary").alias("kept"))
-    cut = stored(removed.unionByName(gone).withColumn("cut", F.lit(True)))
-    joined = attach(surveyed.select("doc_id", *KEYS, "n_words", "sha256"), cut, KEYS)
-    n_removed = F.when(F.col("cut"), F.coalesce("n_removed", "n_words")).otherwise(F.lit(0))
-    digest = F.coalesce("kept_sha256", "sha256").alias("kept_sha256")
-    return joined.select("doc_id", "n_words", n_removed.alias("n_removed"), digest, "kept")
+    members, cut = _resolved(docs, True)
+    joined = members.join(cut.hint("merge"), KEYS, "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "kept")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256)``: the digests of ``cut_texts``."""
-    return cut_texts(docs).drop("kept")
+    """``(doc_id, n_words, n_removed, kept_sha256)``: ``cut_texts`` with a digest of what is left of every text."""
+    members, cut = _resolved(docs, False)
+    joined = attach(members, cut.drop("kept"), KEYS)
+    digest = F.coalesce("kept_sha256", "sha256").alias("kept_sha256")
+    return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), digest)
