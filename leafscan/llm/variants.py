@@ -201,9 +201,9 @@ def group_variants(words: DataFrame) -> DataFrame:
     """
     # numbers in the order of the words: the least id is the first word
     numbered = stored(assign_ids(words.select("word", "n"), 0, key="word"))
-    near = stored(attach(numbered.select("id", "n"), nearest(numbered), ["id"]))
+    near = stored(attach(numbered.select("id", "n"), stored(nearest(numbered)), ["id"]))
     links = near.where(F.col("best_n") >= DOMINANCE * F.col("n")).select("id", F.col("best").alias("form"))
-    named = _roots(stored(links))
+    named = stored(_roots(stored(links)))
     spelt = numbered.select(F.col("id").alias("form"), F.col("word").alias("form_word"), F.col("n").alias("form_n"))
     named = attach(named, spelt, ["form"])
     named = attach(named, numbered.select(F.col("id").alias("root"), F.col("word").alias("root_word")), ["root"])
