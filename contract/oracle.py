@@ -15,6 +15,9 @@ from leafscan.functions.text import BLOCK, DOCTYPE, ENTITIES, HIDDEN, INLINE
 SPACE = (
     r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The categories of word characters, as members of a class.
+WORD_CHARS = r"\pL\pM\p{Nd}\p{Nl}\p{Pc}"
+LETTERS = r"\pL\pM\p{Nl}\p{Pc}"
 
 
 def text(value: str) -> str:
@@ -189,6 +192,18 @@ ORACLE: dict[str, str] = {
     r"regexp_matches(text, '(?m)^[A-Z][\pL\pM\p{Nd}\p{Pc}]+\.$') AS line, "
     "regexp_matches(text, '(?i)THOU') AS fold, contains(text, 'zzzz') AS chosen FROM documents",
     "regex_invalid": "SELECT doc_id, false AS unclosed, false AS ahead, false AS again, false AS nothing FROM documents",
+    "regex_hostile": "SELECT doc_id, contains(text, 'zzzz') AS choices, regexp_matches(text, '^a+$') AS nested, "
+    "contains(text, 'x') AS tail, "
+    f"regexp_matches(text, '^(?:[{WORD_CHARS}]+[{SPACE}.,]*)*$') AS words, "
+    f"regexp_matches(text, '[a-z] ?(?:\\.[{SPACE}]*)+[A-Z][{WORD_CHARS}]*\\.(?:[{SPACE}]|$)') AS twice, "
+    "contains(text, repeat('e', 20)) AS optional, regexp_matches(text, '[b-df-hj-np-tv-z]{4}') AS difference, "
+    f"regexp_matches(text, '(?:^|[^{WORD_CHARS}])[{LETTERS}]{{2}}[a-gn-z](?:$|[^{WORD_CHARS}])') AS common FROM documents",
+    "sql_functions": "SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN regexp_matches(p_name, '^[a-z0-9]+ [a-z0-9-]+$') "
+    "WHEN 3 THEN regexp_matches(lower(p_name), 'red|é') WHEN 4 THEN regexp_matches(p_name, '[a-z] ?[a-z]+ ?t$') "
+    "ELSE false END AS by_regex, CASE p_partkey % 5 WHEN 0 THEN regexp_matches(p_name, 'e.*[r-t]$') "
+    "WHEN 1 THEN regexp_matches(p_name, '^[^a-m]') WHEN 3 THEN regexp_matches(p_name, 'd w.dget$') "
+    "ELSE false END AS by_glob, false AS bad, regexp_matches(p_name, '[^a-z ].*w') AS fixed FROM part",
+    "regex_index_search": unscored("(contains({0}, 'hahahe') OR regexp_matches({0}, 'qq[0-9]+zz'))"),
     "regexp_function": "SELECT p_partkey, regexp_matches(p_name, 'e[dt] ?') AS fixed, "
     "regexp_matches(p_name, '^' || split_part(p_name, ' ', 1) || ' [b-r]') AS own FROM part",
     "glob_columns": "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, "

@@ -36,7 +36,7 @@ from leafscan.operators.pages import assign_ids, insert_pages, lookup_id, text_r
 from leafscan.plans import listing, sql
 from leafscan.plans.batch import compile_globs, glob_match_column, search_batch
 from leafscan.plans.build import build, ingest_texts
-from leafscan.plans.search import any_match, search, status
+from leafscan.plans.search import found_any, search, status
 from leafscan.session import spread
 from leafscan.sources.files import decode_all, discover
 from leafscan.sources.tables import Index, ensure_tables, footprint, load_index
@@ -65,6 +65,21 @@ TEXT_REGEXES = {
     "fold": r"(?i)THOU",
     "chosen": r"(?:\w|\s)*zzzz",
 }
+# Patterns that a matcher which tries one way after the other does not finish, or not in
+# time, and what only some engines have.
+HOSTILE_REGEXES = {
+    "choices": r"(?:ab|c|\w\s?)*zzzz",
+    "nested": r"^(?:a+)+$",
+    "tail": r"(ab|c)*x",
+    "words": r"^(?:\w+[\s.,]*)*$",
+    "twice": r"(?:[a-z]+ ?)+(?:\.\s*)+[A-Z]\w*\.(?:\s|$)",
+    "optional": r"(?:e?){20}e{20}",
+    "difference": r"[a-z--[aeiou]]{4}",
+    "common": r"\b[\w&&[^\d]]{2}[a-m~~h-z]\b",
+}
+# Patterns of rows: by the remainder of the part's key.
+ROW_REGEXES = ("(", "a(?=b)", r"^\w+ (?:\w|-)+$", "(?i)RED|É", r"(?:[a-z]+\s?){2}t$")
+ROW_GLOBS = ("*e*[r-t]", "[^a-m]*", "[a-", "*d w?dget", "")
 RARE, COMMON, NAMED = "hahahe", "thou", "nth"
 FLAGGED = (RARE, NAMED, "no such text")
 
@@ -171,6 +186,32 @@ def regex_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags(table(spark, sf_dir, "documents"), "doc_id", tests)
 
 
+@registered
+def regex_hostile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = {name: regex_match(spark, F.col("text"), p) for name, p in HOSTILE_REGEXES.items()}
+    return flags(spread(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", tests)
+
+
+def _of_row(values: tuple[str, ...]) -> Column:
+    """One of the values for each part, by its key."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+
+
+@registered
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both match functions with patterns of the rows, some of them invalid, and bound ones."""
+    sql.register_functions(spark)
+    part = table(spark, sf_dir, "part").withColumns({"re": _of_row(ROW_REGEXES), "gl": _of_row(ROW_GLOBS)})
+    part.createOrReplaceTempView("part_patterns")
+    return sql.query(
+        spark,
+        "SELECT p_partkey, regexp_match(re, p_name) AS by_regex, glob_match(gl, p_name) AS by_glob, "
+        "regexp_match(:bad, p_name) AS bad, glob_match(:glob, p_name) AS fixed FROM part_patterns",
+        bad="(a)\\1",
+        glob="*[^a-z ]*w*",
+    )
+
+
 @registered
 def regexp_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL function, with a constant pattern and with one from the row."""
@@ -306,6 +347,12 @@ def regex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(search(catalogue(spark, sf_dir), r"^[A-M]\w*(?:th|ou)[a-z]*\.[0-9]$|(?:ha){3}", True))
 
 
+@registered
+def regex_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regex whose literals are rare: answered through the postings."""
+    return ranked(search(catalogue(spark, sf_dir), r"(?:\w+ )*(?:ha){2}he\w*\b|qq[0-9]+zz", True))
+
+
 @registered
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.aligned_blocks(search(catalogue(spark, sf_dir), NAMED))
@@ -314,7 +361,7 @@ def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def match_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = catalogue(spark, sf_dir)
-    found = [any_match(search(index, p)).withColumn("pattern", F.lit(p)) for p in FLAGGED]
+    found = [found_any(index, p).withColumn("pattern", F.lit(p)) for p in FLAGGED]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -98,6 +98,16 @@ def glob_to_regex(pattern: str) -> str:
     return f"(?s)\\A{first}{middle}{tail}"
 
 
+def glob_to_dialect(pattern: str) -> str | None:
+    """The glob in the regex dialect of this library; None if it matches nothing."""
+    pieces = []
+    for kind, text in tokens(pattern):
+        if kind == "open":
+            return None
+        pieces.append({"lit": quote, "*": lambda _: ".*", "?": lambda _: ".", "class": _char_class}[kind](text))
+    return f"(?s)\\A{''.join(pieces)}\\z"
+
+
 def glob_match(col: Column, pattern: str) -> Column:
     """Glob test; plain shapes become string functions that the Parquet scan can use."""
     parts = list(tokens(pattern))

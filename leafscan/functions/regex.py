@@ -10,54 +10,36 @@ from __future__ import annotations
 
 import logging
 import re
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from leafscan.functions import charsets
+from leafscan.functions.automaton import automaton, matcher
+from leafscan.functions.glob import fold as fold_literal
 from leafscan.functions.glob import quote
+from leafscan.functions.syntax import (
+    ASCII_CLASSES,
+    ESCAPE,
+    GROUP,
+    REPEAT,
+    PatternError,
+    backtracks_little,
+    parse,
+    required,
+    syntax_tree,
+)
+from leafscan.functions.text import fold
 
 log = logging.getLogger(__name__)
 
 
-class PatternError(ValueError):
-    """The pattern is not valid in the dialect."""
-
-
 class One(str):
     """A piece that matches exactly one character and may stand in a bracket class."""
 
 
-# ASCII bracket classes.
-ASCII_CLASSES = {
-    "alnum": "0-9A-Za-z",
-    "alpha": "A-Za-z",
-    "ascii": "\\x00-\\x7f",
-    "blank": "\\t ",
-    "cntrl": "\\x00-\\x1f\\x7f",
-    "digit": "0-9",
-    "graph": "!-~",
-    "lower": "a-z",
-    "print": " -~",
-    "punct": "!-/:-@\\[-`{-~",
-    "space": "\\t\\n\\x0b\\f\\r ",
-    "upper": "A-Z",
-    "word": "0-9A-Za-z_",
-    "xdigit": "0-9A-Fa-f",
-}
-
-ESCAPE = re.compile(
-    r"""\\(?:
-      (?P<hex>x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|[xuU]\{[0-9A-Fa-f]+\})
-    | (?P<prop>[pP](?:\{\^?[A-Za-z_=:0-9 ]+\}|[A-Za-z]))
-    | (?P<set>[dDwWsS])
-    | (?P<edge>[bBAz])
-    | (?P<ctl>[ntrfav])
-    | (?P<lit>[^0-9A-Za-z<>\s])
-    )""",
-    re.X,
-)
-GROUP = re.compile(r"\((?:\?P?<(?P<name>[A-Za-z_][A-Za-z0-9_.\[\]]*)>|\?(?P<flags>[a-zA-Z-]*)(?P<end>[:)]))?")
-REPEAT = re.compile(r"[*+?]|\{[0-9]+(?:,[0-9]*)?\}")
+# How the JVM spells control characters.
 CONTROL = {"n": "\\n", "t": "\\t", "r": "\\r", "f": "\\f", "a": "\\x07", "v": "\\x0b"}
 
 
@@ -203,20 +185,85 @@ def to_java(pattern: str) -> str:
     return "(?dU)" + "".join(out)
 
 
-def compiled(spark: SparkSession, pattern: str) -> str | None:
-    """JVM form of a valid pattern; None, with a reason logged, for an invalid one."""
+def tree_of(pattern: str) -> tuple | None:
+    """Syntax tree of a valid pattern; None, with a reason logged, for an invalid one."""
     try:
-        java = to_java(pattern)
-        spark._jvm.java.util.regex.Pattern.compile(java)
-    except Exception as error:  # the JVM reports its own syntax errors
-        reason = str(error).splitlines()[0]
-        log.warning("pattern %r matches nothing: %s", pattern, reason)
+        return parse(pattern)
+    except PatternError as error:
+        log.warning("pattern %r matches nothing: %s", pattern, error)
+        return None
+
+
+def _condition(needs, col: Column) -> Column | None:
+    """The literals of ``required`` as plain substring tests, which the Parquet scan can use."""
+    if needs is True:
+        return None
+    if needs[0] == "lit":
+        return F.contains(col, F.lit(needs[1]))
+    parts = [_condition(part, col) for part in needs[1]]
+    return reduce(Column.__and__ if needs[0] == "and" else Column.__or__, parts)
+
+
+# Sets that the JVM has a sign for, and how it spells edges.
+SIGNS = {"w": charsets.word, "d": charsets.digit, "s": lambda: charsets.WHITE_SPACE}
+EDGES = {"A": "\\A", "z": "\\z", "^": "(?:\\A|(?<=\\n))", "$": "(?=\\n|\\z)", "b": "\\b", "B": "\\B"}
+
+
+def spelled(tree: tuple) -> str:
+    """A syntax tree as a JVM pattern, to be read with the flags ``(?dU)``."""
+    kind, value = tree[:2]
+    if kind == "edge":
+        return EDGES[value]
+    if kind == "set":
+        for sign, ranges in SIGNS.items():
+            if value in (ranges(), charsets.negated(ranges())):
+                return f"\\{sign if value == ranges() else sign.upper()}"
+        spans = (f"\\x{{{low:x}}}" + (f"-\\x{{{high:x}}}" if high > low else "") for low, high in value)
+        return f"[{''.join(spans)}]" if value else "(?!)"
+    if kind == "cat":
+        return "".join(map(spelled, value))
+    if kind == "alt":
+        return f"(?:{'|'.join(map(spelled, value))})"
+    _, inner, least, most = tree
+    return f"(?:{spelled(inner)}){{{least},{'' if most is None else most}}}"
+
+
+def native_pattern(spark: SparkSession, pattern: str, tree: tuple) -> str | None:
+    """JVM form of a pattern that the JVM's matcher runs in bounded steps from each place."""
+    if not backtracks_little(tree):
         return None
-    return java
+    # as it was written if the search needs all of it
+    if tree == syntax_tree(pattern):
+        try:
+            java = to_java(pattern)
+            spark._jvm.java.util.regex.Pattern.compile(java)
+            return java
+        except Exception:  # what only the syntax tree can say: class operators, some properties
+            log.debug("pattern %r is spelled out for the JVM", pattern)
+    return "(?dU)" + spelled(tree)
+
+
+def regex_needs(tree: tuple, col: Column) -> Column | None:
+    """What a text must hold for a match, as plain substring tests; None if nothing is known."""
+    needed = _condition(required(tree), col)
+    return needed if needed is not None else _condition(required(tree, fold_literal), fold(col))
 
 
 def regex_match(spark: SparkSession, col: Column, pattern: str) -> Column:
-    """Unanchored match; an invalid pattern matches nothing instead of failing the job."""
-    java = compiled(spark, pattern)
-    return F.lit(False) if java is None else col.rlike(java)
+    """Unanchored match; an invalid pattern matches nothing instead of failing the job.
 
+    Time is linear in the text. A pattern without unbounded repetition is left to the JVM;
+    any other runs as an automaton over Arrow batches. Either looks only at texts that hold
+    the literals that every match needs.
+    """
+    tree = tree_of(pattern)
+    if tree is None:
+        return F.lit(False)
+    needed, java = regex_needs(tree, col), native_pattern(spark, pattern, tree)
+    if java is not None:
+        return col.rlike(java) if needed is None else needed & col.rlike(java)
+    found = matcher(automaton(tree))
+    if needed is None:
+        return F.when(col.isNotNull(), found(col))
+    # texts without the literals do not reach Python
+    return needed & found(F.when(needed, col))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafscan.operators.bm25 import idf, scored_candidates, term
@@ -71,3 +71,54 @@ def literal_terms(index: Index, pattern: PatternGrams) -> Column:
         for gram, weight in weights(index, pattern)
     ]
     return F.array(*entries)
+
+
+@dataclass(frozen=True)
+class Literals:
+    """Literals of which every match holds one, and no more rows than ``bound`` do."""
+
+    bound: int
+    texts: tuple[str, ...]
+
+
+def cheapest_literals(index: Index, needed) -> Literals | None:
+    """The literals to look for under a regex's condition; None if it names none.
+
+    Of conditions that all hold the one with the fewest rows is enough: the rest is left to
+    the test of the texts.
+    """
+    if needed is True:
+        return None
+
+    def grams(text: str) -> list[str]:
+        return [text[i : i + 3] for i in range(len(text) - 2)]
+
+    def leaves(part) -> list[str]:
+        return grams(part[1]) if part[0] == "lit" else [gram for inner in part[1] for gram in leaves(inner)]
+
+    df = look_up(index, leaves(needed)).df
+
+    def best(part) -> Literals:
+        if part[0] == "lit":
+            return Literals(min(df.get(gram, 0) for gram in grams(part[1])), (part[1],))
+        found = [best(inner) for inner in part[1]]
+        if part[0] == "and":
+            return min(found, key=lambda few: few.bound)
+        return Literals(sum(few.bound for few in found), tuple(text for few in found for text in few.texts))
+
+    return best(needed)
+
+
+def literal_rows(index: Index, few: Literals) -> DataFrame:
+    """``(row_id, block)`` of the rows that hold all grams of one of the literals."""
+    wanted = [(i, text[at : at + 3]) for i, text in enumerate(few.texts) for at in range(len(text) - 2)]
+    names = sorted({gram for _, gram in wanted})
+    pairs = index.spark.createDataFrame(sorted(set(wanted)), "literal int, gram string")
+    pairs = pairs.withColumn("n_grams_of", F.count(F.lit(1)).over(Window.partitionBy("literal")))
+    buckets = index.spark.createDataFrame([(gram,) for gram in names], "gram string").select(bucket(F.col("gram")))
+    numbers = sorted({row[0] for row in buckets.collect()})
+    posted = index.postings.where(F.col("bucket").isin(numbers) & F.col("gram").isin(names))
+    met = posted.select("gram", "row_id").join(F.broadcast(pairs), "gram")
+    whole = met.groupBy("row_id", "literal", "n_grams_of").agg(F.count(F.lit(1)).alias("present"))
+    rows = whole.where(F.col("present") == F.col("n_grams_of")).select("row_id").distinct()
+    return rows.select("row_id", block("row_id"))

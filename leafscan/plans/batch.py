@@ -17,7 +17,7 @@ from leafscan.functions.glob import (
     plain_needle,
     wrap_substring,
 )
-from leafscan.functions.regex import compiled
+from leafscan.functions.regex import regex_match, tree_of
 from leafscan.operators.bm25 import idf_column, score_in_place
 from leafscan.operators.candidates import BROADCAST_ROWS, ROW_BYTES, SELECTIVE
 from leafscan.operators.grams import bucket
@@ -132,12 +132,15 @@ def scan_tests(spark: SparkSession, chunk: list[Row]) -> list[Column]:
     """For each pattern and pass the entry a matching row gets; none for a bad pattern."""
     tests = []
     for row in chunk:
-        java = compiled(spark, row["pattern"]) if row["is_re"] else None
-        if row["is_re"] and java is None:
+        if row["is_re"] and tree_of(row["pattern"]) is None:
             continue
         for place, column in enumerate(("name", "content")):
             col = F.col(column)
-            hit = col.rlike(java) if row["is_re"] else glob_match(col, wrap_substring(row["pattern"]))
+            hit = (
+                regex_match(spark, col, row["pattern"])
+                if row["is_re"]
+                else glob_match(col, wrap_substring(row["pattern"]))
+            )
             # one literal struct for each entry, spelled in SQL
             entry = f"named_struct('query_id', {row['query_id']:d}L, 'pass', {place})"
             tests.append(F.when(hit, F.expr(entry)))
