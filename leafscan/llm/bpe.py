@@ -19,6 +19,10 @@ PIECE_CHARS = 1 << 16
 # Where white space follows something else a match of the pattern always ends, whatever
 # stands around: in each of its alternatives white space comes first or not at all.
 SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+# White space that is encoded without the regex, which recurses over it. What follows such a
+# run takes its last character; the rest of it is a match of its own.
+LONG_RUN = 10_000
+_BLANK = re.compile(r"[\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]{%d,}" % LONG_RUN)
 
 
 @lru_cache(maxsize=4)
@@ -29,6 +33,10 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+# A pattern whose one match is the whole text.
+WHOLE = r"(?s:.+)"
+
+
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """A text cut at safe boundaries, each the first one ``size`` or more after the last."""
     start = 0
@@ -41,21 +49,37 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def long_blanks(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts ``(part, blank)``; blank parts are one match of the pattern each."""
+    start = 0
+    for run in _BLANK.finditer(text) if len(text) >= LONG_RUN else ():
+        end = run.end() - (run.end() < len(text))
+        yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    yield text[start:], False
+
+
 def encode(docs: DataFrame, path: str, pattern: str, size: int = PIECE_CHARS) -> DataFrame:
     """``(doc_id, text, ids)`` for each row of ``(doc_id, text)``.
 
     ``path`` names a file of ranks that every executor has, ``pattern`` the regex that splits
     a text before merging. Names of special tokens are ordinary text. A null text counts as
     empty and has no ids; repeated rows and null ids stay as they are. A text without any
-    safe boundary is encoded as one piece.
+    safe boundary is encoded as one piece, but for long white space, which is a match whatever
+    stands around it.
     """
 
     def run(rows):
         encoder = encoding(path, pattern)
         for doc_id, text in rows:
             ids = []
-            for piece in pieces(text, size):
-                ids += encoder.encode_ordinary(piece)
+            for part, blank in long_blanks(text):
+                if blank:
+                    ids += encoding(path, WHOLE).encode_ordinary(part)
+                    continue
+                for piece in pieces(part, size):
+                    ids += encoder.encode_ordinary(piece)
             yield doc_id, text, np.array(ids, np.int32)
 
     texts = docs.select("doc_id", null_free().alias("text"))

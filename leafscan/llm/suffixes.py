@@ -11,19 +11,19 @@ LENGTH-byte strings around an anchor occur twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import BITS, DOCUMENT, attach, map_rows, null_free, stored, wanted_bits
+from leafscan.llm.common import BITS, DOCUMENT, attach, join_counted, map_rows, null_free, stored, wanted_bits
+from leafscan.llm.windows import divide
 
 LENGTH, GRAM = 200, 64
 # Positions at which a window of LENGTH bytes can hold its anchor.
 REACH = LENGTH - GRAM + 1
-# Suffixes of a bucket; and of one leading string, before they are dealt out by a salt.
+# Suffixes of a bucket, and of one leading string.
 BUCKET = 30_000
 # Text that is hashed at once, in bytes; longer ones are taken in overlapping stretches.
 STRETCH = 1 << 22
@@ -98,8 +98,8 @@ def _candidates(classes: DataFrame) -> DataFrame:
     """``(node, other, places)``: for each distinct text the anchors whose grams stand elsewhere too."""
     zipped = F.explode(F.arrays_zip("grams", "places")).alias("x")
     entries = classes.select(*KEYS, zipped).select(*KEYS, "x.grams", "x.places")
-    often = entries.groupBy("grams").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grams")
-    return entries.join(often, "grams").groupBy(*KEYS).agg(F.collect_list("places").alias("places"))
+    often = stored(entries.groupBy("grams").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return join_counted(entries, often, ["grams"]).groupBy(*KEYS).agg(F.collect_list("places").alias("places"))
 
 
 def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -217,52 +217,54 @@ def repeated(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
     return out
 
 
-FOUND = "node long, other long, begin long, end long, digest binary"
+FOUND = "node long, other long, begin long, end long"
 
 
 def _found(suffixes: DataFrame) -> DataFrame:
     """``(node, other, begin, end)``: stretches of bytes that repeated strings cover.
 
-    A leading string of more than BUCKET suffixes is dealt out by a salt. Its parts are
-    compared across their borders by the digests of their distinct strings.
+    A leading string of more than BUCKET suffixes is divided: suffixes that are equal as far
+    as they reach repeat throughout and count once, the others go on under longer leading
+    strings, until each of these has few enough to be sorted in a task.
     """
-    crowded = suffixes.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
-    crowded = stored(crowded.select("lead", F.ceil(F.col("n") / BUCKET).cast("long").alias("parts")))
-    dealt = attach(suffixes, crowded, ["lead"])
-    salt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(*KEYS, "place"), "parts")).otherwise(F.lit(-1)).cast("long")
-    dealt = dealt.withColumn("salt", salt).drop("parts")
-    n_buckets = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // BUCKET))
-    ranged = dealt.repartitionByRange(n_buckets, "lead", "salt")
-
-    def stretches(flags: np.ndarray, rows: list[tuple]) -> Iterator[tuple]:
-        edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        for row, low, high in zip(*(x.tolist() for x in (*np.nonzero(edges == 1), np.nonzero(edges == -1)[1] - 1))):
-            *_, node, other, place, _ = rows[row]
-            yield node, other, place - high, place - low + LENGTH, None
+    divided, found = divide(suffixes, LENGTH, REACH, 1, BUCKET)
+    divided = stored(divided)
+    n_buckets = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-divided.count() // BUCKET))
+    ranged = divided.repartitionByRange(n_buckets, "lead")
 
     def run(rows):
         rows = list(rows)
         if not rows:
             return
         flags = repeated([row[1] for row in rows], [row[2] for row in rows])
-        yield from stretches(flags, rows)
-        for i, (_, left, right, node, other, place, salt) in enumerate(rows):
-            if salt >= 0:
-                for o in range(LENGTH - len(right), len(left) + 1):
-                    whole = left[len(left) - o :] + right[: LENGTH - o]
-                    yield node, other, place - o, place - o + LENGTH, blake2b(whole, digest_size=16).digest()
+        edges = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        for row, low, high in zip(*(x.tolist() for x in (*np.nonzero(edges == 1), np.nonzero(edges == -1)[1] - 1))):
+            *_, node, other, place = rows[row]
+            yield node, other, place - high, place - low + LENGTH
 
-    found = stored(map_rows(ranged, run, FOUND))
-    # strings of a salted leading string, over all its parts
-    across = found.where("digest is not null")
-    twice = across.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    more = across.join(twice, "digest", "left_semi")
-    return found.where("digest is null").unionByName(more).select(*KEYS, "begin", "end")
+    return found.unionByName(map_rows(ranged, run, FOUND))
 
 
 REMOVED = "node long, other long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
+def whole_characters(raw: bytes, spans: list[list[int]]) -> str:
+    """The text without the characters that any span has a byte of."""
+
+    def inside(place: int) -> bool:
+        return 0 < place < len(raw) and raw[place] & 0xC0 == 0x80
+
+    parts, reached = [], 0
+    for begin, end in sorted(spans):
+        while inside(begin):
+            begin -= 1
+        while inside(end):
+            end += 1
+        parts.append(raw[reached : max(begin, reached)])
+        reached = max(reached, end)
+    return b"".join([*parts, raw[reached:]]).decode("utf-8", "surrogatepass")
+
+
 def _removed(texts: DataFrame, found: DataFrame) -> DataFrame:
     """What is left of each text with repeated strings, once for each text."""
     spans = found.groupBy(*KEYS).agg(F.collect_list(F.array("begin", "end")).alias("spans"))
@@ -282,7 +284,8 @@ def _removed(texts: DataFrame, found: DataFrame) -> DataFrame:
                 out = max(out, end)
                 reached = out
             kept = b"".join([*kept, raw[reached:]])
-            yield node, other, len(raw) - len(kept), runs, sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
+            text = whole_characters(raw, spans)
+            yield node, other, len(raw) - len(kept), runs, sha256(kept).hexdigest(), text
 
     return stored(map_rows(met.select(*KEYS, "text", "spans"), run, REMOVED))
 

@@ -276,3 +276,29 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert 0 in seen[1] and 1 not in seen[1] and seen[2] == seen[1]
     assert {"doc_id", "ids"} <= set(frame.columns)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_characters_go_whole(spark):
+    middle = "x" * 198
+    texts = [f"é{middle}è", f"ũ{middle}ñ", f"a€{middle}€b€{middle}€c"]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], "doc_id int, text string, lang string, source string, n_chars long")
+    removed = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(docs).collect()}
+    cut = {r.doc_id: (r.text, r.n_chars) for r in suffixes.cut_documents(docs).collect()}
+    assert removed[0] == removed[1] == 200 and removed[2] > 200
+    # the first byte of é and of ũ differ, the last byte of è and of ñ differ: both go whole
+    assert cut == {0: ("", 0), 1: ("", 0), 2: ("abc", 3)}
+    assert suffixes.whole_characters("aéb".encode(), [[2, 3]]) == "ab"
+    assert suffixes.whole_characters("aéb€c".encode(), [[1, 2], [4, 5]]) == "abc"
+
+
+def test_long_white_space_is_one_match(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder = bpe.encoding(path, public_tokenizers.PATTERN)
+    texts = ["a" + " " * 2_000_000 + "b c", "\n　 " * 5000 + "d", "x " + "\t" * 12_000, " " * 10_000, "\x1f" * 10_001 + " e"]
+    texts += [f"{a}{blank * 10_000}{b}" for a in ("", "o", "'", "9") for b in ("", "p", "'s", "8") for blank in (" ", " ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
+    for r in got:
+        assert bytes(r.bytes) == texts[r.doc_id].encode()
+        if r.doc_id:  # the library itself cannot encode the first text
+            assert r.ids == encoder.encode_ordinary(texts[r.doc_id]), r.doc_id
