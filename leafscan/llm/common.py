@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from leafscan.session import checkpoint_dir
+from leafscan.sources.tables import drop_path
 
 # What separates words.
 SPACES = r"\x20\x09-\x0D"
@@ -51,6 +54,37 @@ def crc_mod(key: Column, modulus: int) -> Column:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+# Tables stored by what runs now, for whoever removes them.
+_all_paths: list[str] = []
+_paths: ContextVar[list[str]] = ContextVar("paths", default=_all_paths)
+
+
+@contextmanager
+def storing(paths: list[str]) -> Iterator[None]:
+    """Notes the folders of the tables stored meanwhile in ``paths``."""
+    before = _paths.set(paths)
+    try:
+        yield
+    finally:
+        _paths.reset(before)
+
+
+def drop_stored(spark: SparkSession, paths: list[str], but: Iterable[str] = ()) -> None:
+    """Removes stored tables, unless a file of them is among those to keep."""
+    kept = list(but)
+    for path in list(paths):
+        name = path.rsplit("/", 1)[1]
+        if not any(name in file for file in kept):
+            drop_path(spark, path)
+            paths.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every table that the operators have stored in this process, but those of a
+    pipeline, which removes its own. Results that are still to be computed are lost."""
+    drop_stored(spark, _all_paths)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table of their own under ``spark.checkpoint.dir``.
 
@@ -59,6 +93,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _paths.get().append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

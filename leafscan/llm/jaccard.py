@@ -11,11 +11,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafscan.llm.common import DOCUMENT, attach, map_columns, map_rows, null_free, small_batches, stored
+from leafscan.llm.common import (
+    BITS,
+    DOCUMENT,
+    attach,
+    join_counted,
+    map_columns,
+    map_rows,
+    null_free,
+    small_batches,
+    stored,
+    wanted_bits,
+)
 from leafscan.llm.graph import connected
 from leafscan.llm.shingles import mixed, set_id, shingle_set
 
@@ -26,8 +38,6 @@ COUNTERS, SLICES = 1 << 20, 16
 # A shingle this much more frequent than the sketch's median is dealt out by a salt, so
 # that a task gets about so many of its documents.
 HOT = 20_000
-# Bits of the filter that tells which texts are needed.
-BITS = 1 << 25
 # Bytes of the bitmap of a set for the suffix filter: at least half its size, within these.
 LEAST_BYTES, MOST_BYTES = 16, 512
 # Neighbours of a set, in a random order of those that share a shingle, that it may first be compared with.
@@ -38,11 +48,6 @@ HELD, FEW = 256, 8
 VERIFIED = 2_000
 
 
-def overlap(n: int | Column, m: int | Column) -> Column:
-    """Least common shingles of two linked sets of the given sizes."""
-    return F.ceil((n + m) * F.lit(PERCENT) / F.lit(100 + PERCENT))
-
-
 def bitmap(hashes: np.ndarray) -> bytes:
     """A bit for each of a set's hashes, in a power of two of bytes that follows the set's size."""
     size = min(max(1 << (len(hashes) // 2).bit_length(), LEAST_BYTES), MOST_BYTES)
@@ -203,25 +208,12 @@ def _shared(entries: DataFrame) -> DataFrame:
     return map_columns(dealt, run, SHARED)
 
 
-def _wanted(nodes: DataFrame) -> np.ndarray:
-    """A filter of BITS bits that lets the given nodes pass, and few others."""
-    bit = F.pmod("node", F.lit(BITS)) + 1  # these functions count from 1
-    rows = nodes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
-    )
-    out = np.zeros(BITS // 8, np.uint8)
-    for bucket, bits in rows.collect():
-        start = (bucket - 1) * 4096
-        out[start : start + 4096] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def _texts(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """``(digest, text)`` for the given digests, once or a few times each; others may be among them.
 
     Texts are told apart by the digest that Spark computes; none is cut into words here.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_wanted(digests.select(F.xxhash64("digest").alias("node"))))
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(digests.select(F.xxhash64("digest").alias("node"))))
 
     def run(batches):
         wanted, seen = bits.value, set()
@@ -423,10 +415,15 @@ def classes(docs: DataFrame) -> DataFrame:
     hubs = hubs.select(F.col("base").alias("gram"), F.lit(0).cast("long").alias("base"), "node", "size", "place")
     first = _first_pairs(shared).unionByName(_first_pairs(_shared(hubs)))
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_neighbours(shared))
-    links = verify(docs, members, stored(first.distinct()))
-    found = stored(_open_pairs(shared, stored(connected(links)), members))
-    links = links.unionByName(verify(docs, members, stored(_likeliest(found))))
-    rest = stored(_still_open(found, stored(connected(links))))
+    first = stored(first.distinct())
+    links = verify(docs, members, first)
+    found = _open_pairs(shared, stored(connected(links)), members)
+    # a pair that was verified once is settled
+    found = stored(found.join(first, ["a", "b"], "left_anti"))
+    likeliest = stored(_likeliest(found))
+    links = links.unionByName(verify(docs, members, likeliest))
+    rest = _still_open(found, stored(connected(links))).join(likeliest, ["a", "b"], "left_anti")
+    rest = stored(rest)
     if not rest.isEmpty():
         links = links.unionByName(verify(docs, members, rest))
     groups = connected(links).withColumnRenamed("component", "group")
@@ -446,16 +443,41 @@ def components(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def _suspects(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Whether each row's ``digest`` may be among the keys'; all that are, and few others."""
+    name = F.xxhash64("digest").alias("node")
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(keys.select(name)))
+
+    @F.pandas_udf("boolean")
+    def wanted(nodes: pd.Series) -> pd.Series:
+        place = nodes.to_numpy() % BITS
+        return pd.Series((bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
+
+    return docs.withColumn("_maybe", wanted(F.xxhash64("digest")))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the least id; all that are linked with nothing.
 
-    Of equal ids the one with the least digest stays, and of repeated rows one.
+    Of equal ids the one with the least digest stays, and of its repeated rows one; a null id
+    comes last. Texts without words, nulls among them, are in no group and all stay. An empty
+    table stays empty. Only texts that may have to go, or to stay once, are shuffled.
     """
-    grouped = stored(classes(docs))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    chosen = grouped.where("group is not null").groupBy("group").agg(F.min(row).alias("row")).select("row.*").drop("none")
-    alone = grouped.where("group is null").select("doc_id", "digest").distinct()
-    kept = chosen.unionByName(alone).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    whole = docs.select(*DOCUMENT).withColumn("digest", F.md5(null_free()))
-    same = whole["doc_id"].eqNullSafe(kept["_id"]) & (whole["digest"] == kept["_digest"])
-    return whole.join(kept, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select(*DOCUMENT)
+    docs, keys = docs.select(*DOCUMENT), ["doc_id", "digest"]
+    rows = stored(classes(docs)).where("group is not null")
+    named = stored(rows.groupBy("group", *keys).agg(F.count(F.lit(1)).alias("n")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), *keys)
+    groups = named.groupBy("group").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"))
+    groups = stored(groups.where("n_rows > 1"))
+    met = join_counted(named, groups, ["group"], "n_keys")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    # keys that go, and keys of which one row stays
+    settled = met.select(*keys, stays.alias("stays"), "n").where("NOT stays OR n > 1").select(*keys, "stays")
+    settled = stored(settled)
+    judged = _suspects(docs.withColumn("digest", F.md5(null_free())), settled)
+    other = settled.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "stays").hint("merge")
+    same = judged["doc_id"].eqNullSafe(other["_id"]) & (judged["digest"] == other["_digest"])
+    suspects = judged.where("_maybe").join(other, same, "left")
+    whole = judged.where("NOT _maybe").unionByName(suspects.where("stays IS NULL").select(judged.columns))
+    once = suspects.where("stays").dropDuplicates(keys).select(judged.columns)
+    return whole.unionByName(once).select(*DOCUMENT)

@@ -134,9 +134,11 @@ def decide(docs: DataFrame) -> DataFrame:
     )
 
 
+KEYS = ["source", "doc_id", "digest"]
+
+
 def _with_decisions(docs: DataFrame) -> DataFrame:
-    digest = F.md5(null_free())
-    return attach(docs.withColumn("digest", digest), stored(decide(docs)), ["source", "doc_id", "digest"])
+    return attach(docs.withColumn("digest", F.md5(null_free())), stored(decide(docs)), KEYS)
 
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
@@ -156,12 +158,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     taken, sorted by training position. Of a copy that is taken in part the text goes on to
     the last word that is taken; ``n_chars`` follows.
     """
-    decided = _with_decisions(docs.select(*DOCUMENT))
     copies = F.array(
         F.struct(F.col("position"), F.col("first").alias("words")),
         F.struct(F.col("again_position").alias("position"), F.col("again").alias("words")),
     )
-    taken = decided.withColumn("_copy", F.explode(copies)).where("_copy.words > 0")
+    decided = stored(decide(docs.select("doc_id", "text", "source")))
+    wanted = decided.select(*KEYS, "size", F.filter(copies, lambda copy: copy["words"] > 0).alias("copies"))
+    wanted = wanted.where(F.size("copies") > 0).select(*(F.col(k).alias(f"_{k}") for k in KEYS), "size", "copies")
+    rows = docs.select(*DOCUMENT, F.md5(null_free()).alias("digest"))
+    # texts and decisions meet by shuffle at every size: a switch to broadcast would make a
+    # small run say nothing about a large one
+    same = [rows[k].eqNullSafe(wanted[f"_{k}"]) for k in KEYS]
+    taken = rows.join(wanted.hint("merge"), same).withColumn("_copy", F.explode("copies"))
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     part = F.array_join(F.slice(words, 1, F.col("_copy.words").cast("int")), "")
     whole = F.col("_copy.words") == F.col("size")

@@ -79,7 +79,7 @@ def divide(rows: DataFrame, length: int, reach: int, unit: int, bucket: int) ->
     do not share; a level makes two rows of one at most, and the last leaves single windows.
     """
     width = 1 << (reach - 1).bit_length()
-    ready, found, spans = [], [], "node long, other long, begin long, end long"
+    ready, found, zero = [], [], F.lit(0).cast("long")
     current = rows.select(*ROW, F.lit(0).alias("start"))
     while True:
         crowded = current.groupBy("lead").agg(F.count(F.lit(1)).alias("n_lead")).where(F.col("n_lead") > bucket)
@@ -104,5 +104,5 @@ def divide(rows: DataFrame, length: int, reach: int, unit: int, bucket: int) ->
         parts = F.array(*(_part(F.col("start") + k * width, width, length, unit) for k in (0, 1)))
         halves = names.select("start", "one.*").select("node", "other", "place", F.explode(F.array_compact(parts)).alias("p"))
         current = stored(halves.select("p.lead", "p.left", "p.right", "node", "other", "place", "p.start"))
-    nothing = rows.sparkSession.createDataFrame([], spans)
+    nothing = rows.select("node", "other", zero.alias("begin"), zero.alias("end")).where("false")
     return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, found, nothing)

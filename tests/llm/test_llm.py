@@ -302,3 +302,30 @@ def test_long_white_space_is_one_match(spark):
         assert bytes(r.bytes) == texts[r.doc_id].encode()
         if r.doc_id:  # the library itself cannot encode the first text
             assert r.ids == encoder.encode_ordinary(texts[r.doc_id]), r.doc_id
+
+
+def test_keep_one_keeps_what_is_linked_with_nothing(spark, empty):
+    words = " ".join(f"w{i}" for i in range(40))
+    texts = [(1, words), (2, words.upper()), (2, words), (2, words), (5, ""), (5, None), (5, ""), (None, words), (None, "one two"), (7, "one two"), (7, "one two"), (8, "x")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect())
+    assert kept == Counter({(1, words): 1, (5, ""): 2, (5, None): 1, (7, "one two"): 1, (8, "x"): 1})
+    assert jaccard.keep_one(empty.select("doc_id", "text", "lang", "source", "n_chars")).count() == 0
+
+
+def test_stored_tables_are_removed(spark, docs):
+    from pathlib import Path
+
+    from leafscan.llm.common import drop_stored, storing
+
+    paths = []
+    with storing(paths):
+        kept = jaccard.keep_one(docs)
+        n = kept.count()
+    assert len(paths) > 5 and all(Path(p).exists() for p in paths)
+    # what a result is still read from stays on request
+    drop_stored(spark, paths, kept.inputFiles())
+    assert paths and kept.count() == n
+    left = list(paths)
+    drop_stored(spark, paths)
+    assert not paths and not any(Path(p).exists() for p in left)
