@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,9 @@ def assign_ids(new: DataFrame, start: int, key: str = "path", column: str = "id"
     for size in sizes:
         offsets.append((size["_part"], seen))
         seen += size["n"]
-    before = spark.createDataFrame(offsets, "_part long, _before long")
+    # as an Arrow table, which needs no Python worker
+    columns = [pa.array([row[i] for row in offsets], pa.int64()) for i in (0, 1)]
+    before = spark.createDataFrame(pa.table(columns, names=["_part", "_before"]))
     position = F.col("_place").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     return (
         numbered.withColumn("_part", part)
