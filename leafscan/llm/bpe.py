@@ -60,6 +60,18 @@ def long_blanks(text: str) -> Iterator[tuple[str, bool]]:
     yield text[start:], False
 
 
+def token_ids(text: str, path: str, pattern: str, size: int = PIECE_CHARS) -> list[int]:
+    """The ids of one text."""
+    encoder, ids = encoding(path, pattern), []
+    for part, blank in long_blanks(text):
+        if blank:
+            ids += encoding(path, WHOLE).encode_ordinary(part)
+            continue
+        for piece in pieces(part, size):
+            ids += encoder.encode_ordinary(piece)
+    return ids
+
+
 def encode(docs: DataFrame, path: str, pattern: str, size: int = PIECE_CHARS) -> DataFrame:
     """``(doc_id, text, ids)`` for each row of ``(doc_id, text)``.
 
@@ -71,16 +83,8 @@ def encode(docs: DataFrame, path: str, pattern: str, size: int = PIECE_CHARS) ->
     """
 
     def run(rows):
-        encoder = encoding(path, pattern)
         for doc_id, text in rows:
-            ids = []
-            for part, blank in long_blanks(text):
-                if blank:
-                    ids += encoding(path, WHOLE).encode_ordinary(part)
-                    continue
-                for piece in pieces(part, size):
-                    ids += encoder.encode_ordinary(piece)
-            yield doc_id, text, np.array(ids, np.int32)
+            yield doc_id, text, np.array(token_ids(text, path, pattern, size), np.int32)
 
     texts = docs.select("doc_id", null_free().alias("text"))
     return map_rows(texts, run, "doc_id long, text string, ids array<int>")
@@ -100,11 +104,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_rows(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, bytes binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``(doc_id, ids, bytes)``: the ids of each text and what they decode to, by ``encode`` and
+    ``decode`` in one pass, so that a task keeps one Python worker and one encoder."""
+
+    def run(rows):
+        for doc_id, text in rows:
+            ids = token_ids(text, path, pattern)
+            yield doc_id, np.array(ids, np.int32), encoding(path, pattern).decode_bytes(ids)
+
+    return map_rows(docs.select("doc_id", null_free()), run, "doc_id long, ids array<int>, bytes binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Number of ids, and digests of the ids and of the decoded bytes, for each document."""
-    decoded = decode(encode(docs, path, pattern), path, pattern)
     spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(spelt, 256).alias("ids_sha256"),

@@ -310,12 +310,19 @@ def _may_link(n, place, m, other):
     return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (most >= need)
 
 
+def _first_common(n, place, m, other):
+    """The same for the first shingle that two sets share in the order of all shingles: before
+    it they have nothing in common. Linked sets pass at that shingle, if not at all they share."""
+    need = -(-(n + m) * PERCENT // (100 + PERCENT))
+    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - place, m - other) >= need)
+
+
 def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) -> DataFrame:
     """``(a, b, score)``: candidates between sets that share a shingle and are not in one component yet.
 
     A shingle whose sets are one component needs no more pairs. Of the others each set outside
     the shingle's largest component meets the sets of other components, HELD or so of them in a
-    task, with all filters; only what passes leaves the task. ``score`` compares the most that
+    task, with all filters; only what passes, at the first shingle it may share, leaves the task. ``score`` compares the most that
     two sets can share with what they need.
     """
     own = F.when(F.col("base") != 0, F.col("base")).otherwise(F.col("gram")).alias("gram")
@@ -350,7 +357,7 @@ def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) ->
                     if of == component or outer and other >= node or 100 * min(size, m) < PERCENT * max(size, m):
                         continue
                     need = -(-(size + m) * PERCENT // (100 + PERCENT))
-                    if min(place, at) + min(size - place, m - at) >= need:
+                    if min(size - place, m - at) >= need:
                         most = most_common_of_two(bits, size, their, m)
                         if most >= need:
                             yield min(node, other), max(node, other), 1000 * most // need
@@ -366,7 +373,7 @@ def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) ->
             x = np.frombuffer(bits, np.uint8)
             for nodes, sizes, places, components, outer, matrix in tables:
                 # of two sets outside the largest component, the one with the larger id asks
-                ok = (components != component) & (~outer | (nodes < node)) & _may_link(size, place, sizes, places)
+                ok = (components != component) & (~outer | (nodes < node)) & _first_common(size, place, sizes, places)
                 if not ok.any():
                     continue
                 most = most_common(x, size, matrix[ok], sizes[ok])

@@ -329,3 +329,16 @@ def test_stored_tables_are_removed(spark, docs):
     left = list(paths)
     drop_stored(spark, paths)
     assert not paths and not any(Path(p).exists() for p in left)
+
+
+def test_round_trip_digests(docs, rows, empty):
+    """Digests of ids and bytes against the library itself, text by text."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder = bpe.encoding(path, public_tokenizers.PATTERN)
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = encoder.encode_ordinary(text or "")
+        sha = lambda raw: hashlib.sha256(raw).hexdigest()
+        want.append((doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode())))
+    got = [tuple(r) for r in bpe.digests(docs, path, public_tokenizers.PATTERN).collect()]
+    assert Counter(got) == Counter(want) and bpe.digests(empty, path, public_tokenizers.PATTERN).count() == 0
