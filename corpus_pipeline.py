@@ -67,9 +67,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 @staged
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to its bytes."""
-    path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    decoded = bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return decoded.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
