@@ -13,8 +13,9 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from contract.corpus import catalogue  # noqa: E402
+from contract.corpus import catalogue, catalogue_folder  # noqa: E402
 from contract.queries import REGISTRY  # noqa: E402
+from leafscan.sources.tables import footprint  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
@@ -22,7 +23,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = (
     "count_pages list_pages aligned_listing describe_pages plain_pages glob_content regex_content "
     "pages_joined postings gram_df candidates bm25_search two_block_search common_search "
-    "wildcard_search short_search regex_search batch_search param_search"
+    "wildcard_search short_search regex_search regex_hostile regex_index_search batch_search param_search"
 ).split()
 
 
@@ -65,6 +66,7 @@ def main() -> None:
         "queries": seconds,
         "sf": Path(SF_DIR).name.removeprefix("sf"),
         "rows": index.n_rows,
+        "stored_to_raw": round(footprint(spark, catalogue_folder(spark, SF_DIR)).first()["ratio"], 3),
     }
     print(json.dumps(line))
     spark.stop()

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafscan.operators.bm25 import idf, scored_candidates, term
-from leafscan.operators.grams import bucket
+from leafscan.operators.bm25 import SCALE, idf, term
+from leafscan.operators.grams import bucket, unpacked
 from leafscan.sources.tables import Index, block
 
 # Up to this many candidate rows are broadcast to the text table, at ROW_BYTES each.
@@ -50,18 +50,29 @@ def weights(index: Index, pattern: PatternGrams) -> list[tuple[str, float]]:
 
 
 def candidates(index: Index, pattern: PatternGrams) -> DataFrame:
-    """``(row_id, block, score)`` of every row that holds all grams of the pattern."""
+    """``(row_id, block, score)`` of every row that holds all grams of the pattern.
+
+    The grams' lists are unpacked and intersected; what is left takes its length from the
+    text table, of which only that column is read.
+    """
     if not pattern.bound:
         return index.spark.createDataFrame([], "row_id long, block long, score double")
     weighed = index.spark.createDataFrame(weights(index, pattern), "gram string, weight double")
     # both filters reach the scan: one prunes folders, the other row groups
     wanted = F.col("bucket").isin(pattern.buckets) & F.col("gram").isin(list(pattern.repeats))
-    found = index.postings.where(wanted).join(F.broadcast(weighed), "gram")
-    share = term(F.col("weight"), F.col("tf"), F.col("n_grams"), index.average)
-    scored = scored_candidates(
-        found.select("row_id", share.alias("term")), ["row_id"], F.lit(len(pattern.repeats))
-    )
-    return scored.select("row_id", block("row_id"), "score")
+    lists = index.postings.where(wanted).join(F.broadcast(weighed), "gram")
+    entries = F.collect_list(F.struct("weight", "tf")).alias("entries")
+    met = unpacked(lists, "weight").groupBy("row_id").agg(entries)
+    whole = met.where(F.size("entries") == len(pattern.repeats)).withColumn("block", block("row_id"))
+    if pattern.bound <= BROADCAST_ROWS:
+        whole = F.broadcast(whole)
+    rows = index.fts.select("row_id", "block", "n_grams").join(whole, ["row_id", "block"])
+
+    def add(total: Column, entry: Column) -> Column:
+        return total + term(entry["weight"], entry["tf"], F.col("n_grams"), index.average)
+
+    score = -(F.aggregate("entries", F.lit(0).cast("long"), add) / F.lit(SCALE))
+    return rows.select("row_id", "block", score.alias("score"))
 
 
 def literal_terms(index: Index, pattern: PatternGrams) -> Column:
@@ -118,7 +129,7 @@ def literal_rows(index: Index, few: Literals) -> DataFrame:
     buckets = index.spark.createDataFrame([(gram,) for gram in names], "gram string").select(bucket(F.col("gram")))
     numbers = sorted({row[0] for row in buckets.collect()})
     posted = index.postings.where(F.col("bucket").isin(numbers) & F.col("gram").isin(names))
-    met = posted.select("gram", "row_id").join(F.broadcast(pairs), "gram")
+    met = unpacked(posted.join(F.broadcast(pairs), "gram"), "literal", "n_grams_of")
     whole = met.groupBy("row_id", "literal", "n_grams_of").agg(F.count(F.lit(1)).alias("present"))
     rows = whole.where(F.col("present") == F.col("n_grams_of")).select("row_id").distinct()
     return rows.select("row_id", block("row_id"))

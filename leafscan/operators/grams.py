@@ -14,6 +14,8 @@ from leafscan.schemas import BUCKETS
 
 # Rows of a postings batch handed back to Spark at once.
 FLUSH = 1 << 18
+# Postings that a task holds before it packs them into lists.
+PACKED = 1 << 21
 
 
 def gram_array(col: Column) -> Column:
@@ -44,6 +46,14 @@ def _spell(keys: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(points.astype("<u4")).view("<U3").ravel())
 
 
+def _counted(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``(row_id, grams, counts, number of grams)`` of the rows of a batch that have any."""
+    for row_id, name, content in zip(*(column.to_pylist() for column in batch.columns)):
+        keys = np.concatenate([_windows(name or ""), _windows(content or "")])
+        if len(keys):
+            yield row_id, *np.unique(keys, return_counts=True), len(keys)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["gram", "row_id", "tf", "n_grams"]
 
@@ -56,12 +66,9 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows, held = [], 0
-        for row_id, name, content in zip(*(column.to_pylist() for column in batch.columns)):
-            keys = np.concatenate([_windows(name or ""), _windows(content or "")])
-            distinct, counts = np.unique(keys, return_counts=True)
-            if len(keys):
-                rows.append((row_id, distinct, counts, len(keys)))
-                held += len(distinct)
+        for row in _counted(batch):
+            rows.append(row)
+            held += len(row[1])
             if held >= FLUSH:
                 yield emit(rows)
                 rows, held = [], 0
@@ -69,6 +76,109 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit(rows)
 
 
+def to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in as many groups of seven bits as each needs, low ones first, and how many
+    bytes that makes. All bytes of a number but its last have the high bit set."""
+    sizes = np.ones(len(values), np.int64)
+    rest = values >> 7
+    while rest.any():
+        sizes += rest > 0
+        rest = rest >> 7
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(int(sizes.max(initial=0))):
+        has = sizes > i
+        part = values[has] >> 7 * i & 0x7F
+        out[(ends - sizes)[has] + i] = part | np.where(sizes[has] > i + 1, 0x80, 0)
+    return out, sizes
+
+
+def from_bytes(raw: np.ndarray) -> np.ndarray:
+    """The numbers that ``to_bytes`` put into so many bytes."""
+    last = np.flatnonzero(raw < 0x80)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    values = np.zeros(len(last), np.int64)
+    for i in range(int((last - first).max(initial=-1)) + 1):
+        has = first + i <= last
+        values[has] |= (raw[first[has] + i].astype(np.int64) & 0x7F) << 7 * i
+    return values
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed lists of the grams of neighbouring rows, PACKED postings at a time."""
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        rows = sorted(rows, key=lambda row: row[0])
+        keys, counts = (np.concatenate([row[i] for row in rows]) for i in (1, 2))
+        row_ids = np.repeat(np.array([row[0] for row in rows], np.int64), [len(row[1]) for row in rows])
+        # rows are in order, and a stable sort leaves them so within a gram
+        order = np.argsort(keys, kind="stable")
+        keys, counts, row_ids = keys[order], counts[order], row_ids[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        sizes = np.diff(np.append(starts, len(keys)))
+        gaps = np.diff(row_ids, prepend=0)
+        gaps[starts] = 0
+        # of each list all distances, then all counts
+        place = np.arange(len(keys)) + np.repeat(starts, sizes)
+        values = np.empty(2 * len(keys), np.int64)
+        values[place], values[place + np.repeat(sizes, sizes)] = gaps, counts
+        raw, widths = to_bytes(values)
+        ends = np.concatenate([[0], np.cumsum(widths)[2 * (starts + sizes) - 1]]).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+        arrays = [_spell(keys[starts]), pa.array(row_ids[starts]), pa.array(sizes), packed]
+        return pa.RecordBatch.from_arrays(arrays, names=["gram", "first", "n", "packed"])
+
+    rows, held = [], 0
+    for batch in batches:
+        for row in _counted(batch):
+            rows.append(row)
+            held += len(row[1])
+            if held >= PACKED:
+                yield emit(rows)
+                rows, held = [], 0
+    if rows:
+        yield emit(rows)
+
+
+def packed_postings(fts: DataFrame) -> DataFrame:
+    """``(gram, first, n, packed)``: the postings of neighbouring rows as one list for each gram.
+
+    They are counted and packed in the task that reads the rows, so what is shuffled and
+    stored afterwards is a byte or two for each row of a list.
+    """
+    folded = fts.select("row_id", fold(F.col("name")), fold(F.col("content")))
+    return folded.mapInArrow(_pack, "gram string, first long, n long, packed binary")
+
+
+def unpacked(lists: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, row_id, tf)`` for each entry of packed lists ``(*keep, first, n, packed)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = np.cumsum(whole.column(len(keep) + 1).to_numpy())
+            start = 0
+            while start < whole.num_rows:
+                # a batch of lists in parts of bounded size
+                done = ends[start - 1] if start else 0
+                stop = max(int(np.searchsorted(ends, done + FLUSH, "right")), start + 1)
+                batch = whole.slice(start, stop - start)
+                start = stop
+                first, n = (batch.column(len(keep) + i).to_numpy() for i in (0, 1))
+                values = from_bytes(np.frombuffer(b"".join(batch.column(len(keep) + 2).to_pylist()), np.uint8))
+                begins = np.cumsum(n) - n
+                place = np.arange(int(n.sum())) + np.repeat(begins, n)
+                gaps, tf = values[place], values[place + np.repeat(n, n)]
+                sums = np.cumsum(gaps)
+                row_ids = sums + np.repeat(first - sums[begins], n)
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), n))
+                kept = [batch.column(i).take(rows) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(row_ids), pa.array(tf)], names=[*keep, "row_id", "tf"])
+
+    columns = lists.select(*keep, "first", "n", "packed")
+    kinds = [f"{name} {columns.schema[name].dataType.simpleString()}" for name in keep]
+    return columns.mapInArrow(run, ", ".join([*kinds, "row_id long", "tf long"]))
+
+
 def postings(fts: DataFrame) -> DataFrame:
     """``(gram, row_id, tf, n_grams)``: counts of each gram in each row.
 
@@ -85,6 +195,11 @@ def gram_df(posted: DataFrame) -> DataFrame:
     return posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def packed_df(lists: DataFrame) -> DataFrame:
+    """The same from packed lists."""
+    return lists.groupBy("gram").agg(F.sum("n").alias("df"))
+
+
 def gram_count(name: Column, content: Column) -> Column:
     """Length of a row in grams; folding keeps the number of characters."""
     lengths = [F.greatest(F.char_length(col) - 2, F.lit(0)) for col in (name, content)]

@@ -20,7 +20,7 @@ from leafscan.functions.glob import (
 from leafscan.functions.regex import regex_match, tree_of
 from leafscan.operators.bm25 import idf_column, score_in_place
 from leafscan.operators.candidates import BROADCAST_ROWS, ROW_BYTES, SELECTIVE
-from leafscan.operators.grams import bucket
+from leafscan.operators.grams import bucket, unpacked
 from leafscan.plans.ranking import passes, two_blocks
 from leafscan.plans.search import LIMIT
 from leafscan.session import checkpoint_dir
@@ -32,6 +32,10 @@ SCAN_PATTERNS = 64
 # queries are too many to broadcast.
 SALTS = 32
 
+# Of a query's grams those with up to so many times the rows of its rarest, and no more than
+# so many, are intersected before a text is read.
+SEED_RATIO, SEEDS = 8, 4
+
 TERMS = "array<struct<gram: string, weight: double>>"
 GLOBS = "query_id long, needle string, regex string, grams array<string>"
 HITS = "query_id long, row_id long, id long, name string, description string, pass int, score double"
@@ -67,7 +71,7 @@ def glob_match_column(df: DataFrame, text: str, needle: str = "needle", regex: s
 
 
 def weigh(index: Index, globs: DataFrame) -> DataFrame:
-    """Queries whose grams all occur somewhere, with grams, weights and the rarest gram.
+    """Queries whose grams all occur somewhere, with grams, weights and rarest grams.
 
     A query's grams are few, so they travel as an array; document frequencies come from
     one join over all queries' distinct grams.
@@ -83,49 +87,85 @@ def weigh(index: Index, globs: DataFrame) -> DataFrame:
         .groupBy("query_id")
         .agg(
             F.sort_array(F.collect_list(F.struct("gram", "weight"))).alias("terms"),
-            F.min(F.struct("df", "gram")).alias("rarest"),
+            F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("rising"),
         )
     )
     complete = F.size("terms") == F.size(F.array_distinct("grams"))
     weighed = globs.join(per_query, "query_id").where(complete)
-    return weighed.select("query_id", "needle", "regex", "terms", "rarest.df", "rarest.gram")
+    rising, df = F.col("rising"), F.col("rising")[0]["df"]
+    seeds = F.transform(F.filter(rising, lambda g: g["df"] <= SEED_RATIO * df), lambda g: g["gram"])
+    return weighed.select("query_id", "needle", "regex", "terms", df.alias("df"), F.slice(seeds, 1, SEEDS).alias("seeds"))
 
 
 def pair_candidates(index: Index, weighed: DataFrame, n_queries: int) -> DataFrame:
-    """``(query_id, row_id)`` from each query's rarest gram; the rest is left to the test."""
-    seeds = weighed.select("query_id", "gram", bucket(F.col("gram")).alias("bucket"))
-    posted = index.postings.select("gram", "bucket", "row_id")
-    if n_queries <= BROADCAST_ROWS:
-        joined = posted.join(F.broadcast(seeds), ["gram", "bucket"])
+    """``(query_id, row_id, block)`` of rows that hold all rarest grams of a query; the rest is
+    left to the test.
+
+    Queries meet packed lists; these are unpacked behind the join and intersected.
+    """
+    seeds = weighed.select("query_id", F.size("seeds").alias("n_seeds"), F.explode("seeds").alias("gram"))
+    seeds = seeds.withColumn("bucket", bucket(F.col("gram")))
+    lists = index.postings.drop("batch")
+    if n_queries * SEEDS <= BROADCAST_ROWS:
+        joined = lists.join(F.broadcast(seeds), ["gram", "bucket"])
     else:
         copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        salt = F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt")
-        joined = posted.select("*", salt).join(seeds.select("*", copies), ["gram", "bucket", "salt"])
-    return joined.select("query_id", "row_id", block("row_id"))
+        salt = F.pmod(F.xxhash64("first"), F.lit(SALTS)).cast("int").alias("salt")
+        joined = lists.select("*", salt).join(seeds.select("*", copies), ["gram", "bucket", "salt"])
+    entries = unpacked(joined, "query_id", "n_seeds")
+    met = entries.groupBy("query_id", "row_id", "n_seeds").agg(F.count(F.lit(1)).alias("present"))
+    return met.where("present = n_seeds").select("query_id", "row_id", block("row_id"))
+
+
+def parts_of(pairs: DataFrame, most: int) -> list[DataFrame]:
+    """The pairs in parts of at most about ``most`` rows, each of neighbouring blocks or of one.
+
+    Only the number of pairs of each block reaches the driver.
+    """
+    counts = pairs.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect()
+    parts, blocks, held = [], [], 0
+    for number, n in counts:
+        if held and held + n > most:
+            parts.append(pairs.where(F.col("block").isin(blocks)))
+            blocks, held = [], 0
+        if n > most:
+            pieces = -(-n // most)
+            own = pairs.where(F.col("block") == number)
+            piece = F.pmod(F.xxhash64("query_id", "row_id"), F.lit(pieces))
+            parts += [own.where(piece == i) for i in range(pieces)]
+            continue
+        blocks.append(number)
+        held += n
+    return parts + ([pairs.where(F.col("block").isin(blocks))] if blocks else [])
 
 
-def indexed_hits(index: Index, weighed: DataFrame) -> DataFrame:
-    """Hits of queries with a rare gram, found through the postings."""
+def indexed_hits(index: Index, weighed: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Hits of queries with a rare gram, found through the postings.
+
+    Candidate pairs go out to the texts by broadcast, ``most`` or so at a time, and of the
+    texts only their blocks are read; contents stay where they are however many pairs there are.
+    """
     width = F.octet_length("regex") + F.lit(64) * F.size("terms")
-    totals = (F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("df"), width))
-    n_queries, n_pairs, n_bytes = weighed.agg(F.count(F.lit(1)), *totals).first()
+    n_queries, n_bytes = weighed.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     if not n_queries:
         return index.spark.createDataFrame([], HITS)
-    pairs = pair_candidates(index, weighed, n_queries)
+    pairs = pair_candidates(index, weighed, n_queries).checkpoint()
     details = weighed.select("query_id", "needle", "regex", "terms")
-    # few pairs go out to the texts; more than that, and both sides meet by row
-    if n_pairs <= BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
     if n_bytes <= BROADCAST_ROWS * ROW_BYTES:
         details = F.broadcast(details)
     texts = index.fts.select("row_id", "block", "id", "name", "description", "content")
-    rows = texts.join(pairs, ["row_id", "block"]).join(details, "query_id")
     name, content = F.col("name"), F.col("content")
-    test = [matches(col, F.col("needle"), F.col("regex")) for col in (name, content)]
-    tested = rows.withColumn("passes", passes(*test)).where(F.size("passes") > 0)
-    scored = tested.withColumn("score", score_in_place(F.col("terms"), name, content, index.average))
-    found = F.explode_outer("passes").alias("pass")
-    return scored.select("query_id", "row_id", "id", "name", "description", found, "score")
+    found = []
+    for part in parts_of(pairs, most):
+        # a part carries its queries' tests, so that rows leave the scan tested
+        tests = part.join(details, "query_id")
+        rows = texts.join(F.broadcast(tests), ["row_id", "block"])
+        test = [matches(col, F.col("needle"), F.col("regex")) for col in (name, content)]
+        tested = rows.withColumn("passes", passes(*test)).where(F.size("passes") > 0)
+        scored = tested.withColumn("score", score_in_place(F.col("terms"), name, content, index.average))
+        place = F.explode_outer("passes").alias("pass")
+        found.append(scored.select("query_id", "row_id", "id", "name", "description", place, "score"))
+    return reduce(DataFrame.unionByName, found) if found else index.spark.createDataFrame([], HITS)
 
 
 def scan_tests(spark: SparkSession, chunk: list[Row]) -> list[Column]:

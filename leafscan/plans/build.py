@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafscan.functions.text import (
@@ -12,7 +12,7 @@ from leafscan.functions.text import (
     section_and_mtime,
     until_nul,
 )
-from leafscan.operators.grams import bucket, gram_count, gram_df, postings
+from leafscan.operators.grams import bucket, gram_count, packed_df, packed_postings
 from leafscan.operators.pages import assign_ids, first_pages
 from leafscan.schemas import COMMITS
 from leafscan.session import spread
@@ -82,6 +82,24 @@ def unknown_files(files: DataFrame, index: Index) -> DataFrame:
     return named_files(index.spark, few)
 
 
+def numbered_texts(staged: DataFrame, keys: DataFrame) -> DataFrame:
+    """Staged texts ``(path, _row, name, content, n_grams)`` under the ids of their keys
+    ``(path, _row, row_id, id, description)``; texts without a key are left out.
+
+    Row ids follow the paths, so dealing texts out by ranges of paths puts them where they are
+    to be stored. The keys travel with them as rows of their own and meet them in a window of
+    the same partitions: contents are shuffled once.
+    """
+    text, key = F.struct("name", "content", "n_grams"), F.struct("row_id", "id", "description")
+    texts = staged.select("path", "_row", text.alias("text"))
+    numbers = keys.select("path", "_row", key.alias("key"))
+    both = texts.unionByName(numbers, allowMissingColumns=True)
+    met = Window.partitionBy("path", "_row")
+    dealt = both.repartitionByRange("path", "_row").withColumn("key", F.first("key", ignorenulls=True).over(met))
+    found = dealt.where(F.col("text").isNotNull() & F.col("key").isNotNull())
+    return found.select("key.row_id", "key.id", "text.name", "key.description", "text.content", "text.n_grams")
+
+
 def ingest_texts(
     spark: SparkSession,
     decoded: DataFrame,
@@ -145,17 +163,16 @@ def ingest_texts(
         known = index.page.select("path", "name", "id", "description")
         named = named.unionByName(known.join(rows.select("name").distinct(), "name", "left_semi"))
     keys = rows.select("path", "_row", "row_id").join(first_pages(named), "path")
-    texts = good.select("path", "_row", "name", "content").join(keys, ["path", "_row"])
-    texts = texts.select("row_id", "id", "name", "description", "content", block("row_id"))
-    write_batch(texts, directory, "fts", batch, codec)
+    texts = numbered_texts(good, keys).select("*", block("row_id"))
+    write_batch(texts, directory, "fts", batch, codec, dealt=True)
 
     def written(table: str) -> DataFrame:
         return spark.read.parquet(f"{table_path(directory, table)}/batch={batch}")
 
-    texts = spread(written("fts").select("row_id", "name", "content"), "row_id")
-    posted = postings(texts).withColumn("bucket", bucket(F.col("gram")))
+    texts = spread(written("fts").select("row_id", "name", "content"), "row_id", by_range=True)
+    posted = packed_postings(texts).withColumn("bucket", bucket(F.col("gram")))
     write_batch(posted, directory, "postings", batch, codec)
-    write_batch(gram_df(written("postings")), directory, "gram_df", batch, codec)
+    write_batch(packed_df(written("postings")), directory, "gram_df", batch, codec)
 
     commit = (
         n_pages,

@@ -37,7 +37,7 @@ def register_functions(spark: SparkSession) -> None:
 def register_tables(index: Index) -> None:
     """``page`` and ``fts`` as temporary views."""
     index.page.drop("batch", "block").createOrReplaceTempView("page")
-    index.fts.drop("batch", "block").createOrReplaceTempView("fts")
+    index.fts.drop("batch", "block", "n_grams").createOrReplaceTempView("fts")
 
 
 # A match function whose pattern is a bound value.

@@ -16,8 +16,11 @@ PAGE = _schema(
 )
 # A text row carries its page's description: pages never change once inserted, so the
 # join of the two tables is done once, when the row is written, and not in each search.
-FTS = _schema(("row_id", L), ("id", L), ("name", S), ("description", S), ("content", S))
-POSTINGS = _schema(("gram", S), ("row_id", L), ("tf", L), ("n_grams", L))
+# It also carries its length in grams, which scoring needs once for each row.
+FTS = _schema(("row_id", L), ("id", L), ("name", S), ("description", S), ("content", S), ("n_grams", L))
+# A packed list of the rows that hold a gram, of some neighbouring rows: where it starts, how
+# many they are, and their distances and counts in few bytes each.
+POSTINGS = _schema(("gram", S), ("first", L), ("n", L), ("packed", T.BinaryType()))
 GRAM_DF = _schema(("gram", S), ("df", L))
 # One row per finished ingest. It is written last, so it is also the commit mark.
 COMMITS = _schema(

@@ -34,7 +34,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """At least a partition for each core; only a scan of few files is redistributed."""
+def spread(df: DataFrame, key: str, by_range: bool = False) -> DataFrame:
+    """At least a partition for each core; only a scan of few files is redistributed, on
+    request so that neighbours by the key stay together."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartitionByRange(cores, key) if by_range else df.repartition(cores, key)

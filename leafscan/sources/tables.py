@@ -77,15 +77,20 @@ def block(key: str) -> Column:
     return (F.col(key) / BLOCK_ROWS).cast("long").alias("block")
 
 
-def write_batch(df: DataFrame, directory: str, table: str, batch: int, codec: str) -> None:
+def write_batch(
+    df: DataFrame, directory: str, table: str, batch: int, codec: str, dealt: bool = False
+) -> None:
     """Write one ingest's part of a table; writing it again replaces it.
 
-    Rows are spread by the table's own partition key first, in pieces of even size:
-    a large bucket or block is split over several tasks, small ones share one.
+    Unless they are dealt out already, rows are spread by the table's own partition key first,
+    in pieces of even size: a large bucket or block is split over several tasks, small ones
+    share one.
     """
     keys = [name for name, _ in PARTITIONS[table] if name != "batch"]
-    order = {"page": ["id"], "fts": ["row_id"], "postings": ["gram", "row_id"], "gram_df": ["gram"]}
-    if "block" in keys:
+    order = {"page": ["id"], "fts": ["row_id"], "postings": ["gram", "first"], "gram_df": ["gram"]}
+    if dealt:
+        pass
+    elif "block" in keys:
         # slices of a block, so that one block may fill several tasks
         slices = (F.col(order[table][0]) / SLICE_ROWS).cast("long")
         df = df.withColumn("slice", slices).hint("rebalance", "block", "slice").drop("slice")
