@@ -28,6 +28,8 @@ CONTEXT, PAIR = 2e-5, 5e-7
 DIVERGENCE = 0.002
 # A word with this share of all tokens is frequent: there are at most 1 / FREQUENT of them.
 FREQUENT = 2e-6
+# Share of the tree in a word's probability.
+TREE = 0.3
 # Symbols that a task counts at once; symbols of a text that are scored in one row.
 CHUNK, SEGMENT = 1 << 22, 512
 HELD_OUT = (7, 2)
@@ -136,7 +138,12 @@ class Tree:
         return rows[k, context & ((1 << BITS * k) - 1)]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Logarithms, to base 10, of the probabilities of the texts' symbols and their ends.
+        """Logarithms, to base 10, of the probabilities of the texts' symbols and their ends."""
+        values, begins = self.symbol_scores(texts)
+        return np.add.reduceat(values, begins) if len(begins) else np.zeros(0)
+
+    def symbol_scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for each symbol of all texts, with their ends, and where each text begins.
 
         Texts are cut in rows that move through the tree side by side; each row first reads
         the DEPTH symbols before it, which is as far as a state looks back.
@@ -150,20 +157,22 @@ class Tree:
             cuts = range(begin, begin + size - DEPTH, SEGMENT)
             starts += cuts
             owner += [i] * len(cuts)
-        starts, owner = np.array(starts), np.array(owner)
+        starts, owner = np.array(starts, np.int64), np.array(owner, np.int64)
         lengths = np.minimum(starts + SEGMENT + DEPTH, (begins + sizes)[owner]) - starts
         by = np.argsort(-lengths, kind="stable")
         starts, owner, lengths = starts[by], owner[by], lengths[by]
-        state, sums = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        state, values = np.zeros(len(starts), np.int64), np.zeros(int(sizes.sum()))
         logs, steps = self.logs.ravel(), self.steps.ravel()
         for t in range(int(lengths[0]) if len(lengths) else 0):
             n = int(np.searchsorted(-lengths, -t, "left"))
             symbol = flat[starts[:n] + t]
             at = state[:n] * self.size + symbol
             if t >= DEPTH:
-                sums[:n] += logs[at] + np.where(symbol == self.size - 1, self.rare, 0.0)
+                values[starts[:n] + t] = logs[at] + np.where(symbol == self.size - 1, self.rare, 0.0)
             state[:n] = steps[at]
-        return np.bincount(owner, sums, len(texts))
+        # without the symbols that stand before each text
+        real = np.arange(len(values)) >= np.repeat(begins + DEPTH, sizes)
+        return values[real], begins - DEPTH * np.arange(len(texts))
 
 
 def learn(docs: DataFrame) -> Tree:
@@ -205,17 +214,39 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-PART = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, tfs array<long>"
+PART = (
+    "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+    "words array<binary>, tree array<double>"
+)
+
+
+def word_scores(tree: Tree, tokens: list[list[bytes]]) -> list[np.ndarray]:
+    """For each text the logarithms of its words' probabilities, each with what ends it: the
+    space behind it, or the end of the text behind the last. An empty text is one end."""
+    texts = [b" ".join(words) for words in tokens]
+    values, begins = tree.symbol_scores(texts)
+    out = []
+    for words, begin in zip(tokens, begins.tolist()):
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        starts = begin + np.cumsum(sizes) - sizes if len(words) else np.array([begin])
+        out.append(starts)
+    if not out:
+        return []
+    sums = np.add.reduceat(values, np.concatenate(out))
+    return np.split(sums, np.cumsum([len(starts) for starts in out])[:-1])
 
 
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row
     of ``(doc_id, text)``.
 
-    The tree and the word counts come from all rows that are not held out. Frequent words,
-    of a bounded number, are looked up where a text is read; the others go to their counts,
-    and what they add comes back by the row. A null text counts as empty and is one end;
-    repeated rows are rows of their own. Without training rows all words are unknown.
+    A word's probability is smoothed with its share of all tokens: TREE parts are what the
+    tree gives its bytes and what ends it, the rest its share. So the model knows frequent
+    words whole, and spells the others by their contexts. The tree and the word counts come
+    from all rows that are not held out. Frequent words, of a bounded number, are looked up
+    where a text is read; the others go to their counts, and what they add comes back by the
+    row. A null text counts as empty and is one end; repeated rows are rows of their own.
+    Without training rows all words are unknown and the tree alone counts.
     """
     train = docs.where(~held_out())
     words = stored(_word_counts(train))
@@ -225,6 +256,10 @@ def score(docs: DataFrame) -> DataFrame:
     frequent = dict(words.where(F.col("c") >= FREQUENT * total).collect() if total else [])
     frequent = {bytes(word): c for word, c in frequent.items()}
     spread = float(np.log10(total + kinds + 1))
+    end = (ends + 1) / (total + kinds + 1)
+    part_of_tree = TREE if ends else 1.0
+    # what the base adds to the first word, which is no end, and to the last, which an end follows
+    first, last = (math.log10(1 - end), math.log10(end / (1 - end))) if ends else (0.0, 0.0)
     model = docs.sparkSession.sparkContext.broadcast((learn(train), frequent))
 
     def run(rows):
@@ -235,18 +270,24 @@ def score(docs: DataFrame) -> DataFrame:
         def finish():
             nonlocal key
             tokens = [words_of(text) for *_, text in held]
-            for (doc_id, out, _), words, value in zip(held, tokens, tree.scores([b" ".join(x) for x in tokens])):
-                known, base = (1, np.log10(ends + 1) - spread) if ends else (0, -spread)
-                rare, tfs = [], []
-                for word, tf in Counter(words).items():
-                    c = often.get(word)
-                    if c is None:
-                        rare.append(word)
-                        tfs.append(tf)
-                    else:
-                        known += tf
-                        base += tf * (math.log10(c + 1) - spread)
-                yield key, doc_id, out, len(words) + 1, known, float(base), float(value), rare, tfs
+            for (doc_id, out, _), words, logs in zip(held, tokens, word_scores(tree, tokens)):
+                counts = np.fromiter((often.get(word, -1) for word in words), np.int64, len(words))
+                seen = counts >= 0
+                base = np.log10(np.where(seen, counts, 0) + 1) - spread
+                known = int(counts[seen].astype(bool).sum()) + (1 if ends else 0)
+                # shares of the first and the last word, which those of rare words get below
+                shift = np.zeros(len(words))
+                if len(words):
+                    shift[0] += first
+                    shift[-1] += last
+                else:
+                    base, shift, logs = np.zeros(1), np.array([math.log10(end)]), logs
+                    seen = np.ones(1, bool)
+                mixed = part_of_tree * 10 ** (logs[seen] - shift[seen]) + (1 - part_of_tree) * 10 ** base[seen]
+                value = float(np.log10(np.maximum(mixed, 1e-300)).sum() + shift.sum())
+                whole = float(base[seen].sum() if len(words) else 0.0) + math.log10(end)
+                rare = [words[i] for i in np.flatnonzero(~seen)] if len(words) else []
+                yield key, doc_id, out, len(words) + 1, known, whole, value, rare, (logs - shift)[~seen]
                 key += 1
 
         for row in rows:
@@ -259,15 +300,15 @@ def score(docs: DataFrame) -> DataFrame:
             yield from finish()
 
     parts = stored(map_rows(docs.select("doc_id", held_out().alias("held_out"), null_free()), run, PART))
-    zipped = F.explode(F.arrays_zip("words", "tfs")).alias("x")
-    rare = parts.select("key", zipped).select("key", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf"))
+    zipped = F.explode(F.arrays_zip("words", "tree")).alias("x")
+    rare = parts.select("key", zipped).select("key", F.col("x.words").alias("word"), F.col("x.tree").alias("tree"))
     rare = rare.join(words, "word", "left")
     value = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.lit(spread)
+    mixed = F.log10(F.greatest(part_of_tree * F.pow(F.lit(10.0), "tree") + (1 - part_of_tree) * F.pow(F.lit(10.0), value), F.lit(1e-300)))
     added = rare.groupBy("key").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"),
-        F.sum(F.col("tf") * value).alias("value"),
+        F.count("c").alias("more"), F.sum(value).alias("value"), F.sum(mixed).alias("mixed")
     )
-    whole = parts.drop("words", "tfs").join(added, "key", "left")
+    whole = parts.drop("words", "tree").join(added, "key", "left")
     return whole.select(
         "doc_id",
         "held_out",
@@ -275,5 +316,5 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("value", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),
     )

@@ -342,3 +342,46 @@ def test_round_trip_digests(docs, rows, empty):
         want.append((doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode())))
     got = [tuple(r) for r in bpe.digests(docs, path, public_tokenizers.PATTERN).collect()]
     assert Counter(got) == Counter(want) and bpe.digests(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_suffix_tree_mixes_words_with_their_shares(docs, rows):
+    tree = suffix_tree.learn(docs.where(~suffix_tree.held_out()))
+    got = Counter((str(r.doc_id), round(r.score, 4)) for r in suffix_tree.score(docs).collect())
+    import zlib
+
+    counts, ends = Counter(), 0
+    for i, text, *_ in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
+            counts.update(suffix_tree.words_of(text or ""))
+            ends += 1
+    total = sum(counts.values()) + ends + len(counts) + 1 + 1
+    end = (ends + 1) / total
+    want = Counter()
+    for i, text, *_ in rows:
+        words = suffix_tree.words_of(text or "")
+        logs, _ = tree.symbol_scores([b" ".join(words)])
+        at, value = 0, 0.0
+        for k, word in enumerate(words or [b""]):
+            spelt = 10 ** logs[at : at + len(word) + 1].sum()
+            at += len(word) + 1
+            share = (counts[word] + 1) / total if words else end
+            share *= (1 - end) if words and k == 0 else 1
+            share *= end / (1 - end) if words and k == len(words) - 1 else 1
+            value += np.log10(suffix_tree.TREE * spelt + (1 - suffix_tree.TREE) * share)
+        want[str(i), round(float(value), 4)] += 1
+    assert {k for k, _ in got} == {k for k, _ in want}
+    for (a, x), (b, y) in zip(sorted(got.elements()), sorted(want.elements())):
+        assert a == b and x == pytest.approx(y, rel=1e-4, abs=1e-3)
+
+
+def test_suffix_tree_beats_word_shares_on_held_out_texts(spark):
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no corpus")
+    scored = suffix_tree.score(spark.read.parquet(str(path))).where("held_out")
+    better, score, base, n = scored.agg(
+        F.avg((F.col("score") > F.col("base_score")).cast("int")), F.sum("score"), F.sum("base_score"), F.count("*")
+    ).first()
+    assert n > 100 and score > base and better > 0.9
