@@ -42,6 +42,8 @@ HOT = 20_000
 LEAST_BYTES, MOST_BYTES = 16, 512
 # Neighbours of a set, in a random order of those that share a shingle, that it may first be compared with.
 NEIGHBOURS = 4
+# Rounds in which each set is compared with the likeliest of a sample.
+ROUNDS = 2
 # Sets of one shingle that a task holds at once, and so few that they are compared one by one.
 HELD, FEW = 256, 8
 # Pairs with one common partner that are verified in one task.
@@ -317,9 +319,12 @@ def _first_common(n, place, m, other):
     return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.minimum(n - place, m - other) >= need)
 
 
-def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) -> DataFrame:
+def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame, sampled: bool = False) -> DataFrame:
     """``(a, b, score)``: candidates between sets that share a shingle and are not in one component yet.
 
+    If ``sampled``, a set meets the sets of one block of each shingle only, and of these just
+    the likeliest leaves the task: in proportion to the sets, which joins most of what can be.
+
     A shingle whose sets are one component needs no more pairs. Of the others each set outside
     the shingle's largest component meets the sets of other components, HELD or so of them in a
     task, with all filters; only what passes, at the first shingle it may share, leaves the task. ``score`` compares the most that
@@ -337,7 +342,9 @@ def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) ->
     left = stored(labelled.join(top.where("n > 1").drop("n"), "gram"))
     outside = F.col("component") != F.col("top")
     place = [F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(0).alias("role")]
-    every = [F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role")]
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    meets = F.array(F.pmod(F.xxhash64("gram", "node"), "blocks").cast("int")) if sampled else blocks
+    every = [F.explode(meets).alias("block"), F.lit(1).alias("role")]
     columns = ["gram", "node", "size", "place", "component", outside.alias("outside")]
     dealt = left.select(*columns, *place).unionByName(left.where(outside).select(*columns, *every))
     sets = members.where("node is not null").join(left.select("node").distinct(), "node", "left_semi")
@@ -345,8 +352,23 @@ def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) ->
     met = met.repartition("gram", "block").sortWithinPartitions("gram", "block", "role")
 
     def run(rows):
+        if not sampled:
+            yield from pairs(rows)
+            return
+        last, best = None, None
+        for a, b, score, asks in pairs(rows, True):
+            if asks != last:
+                if best:
+                    yield best
+                last, best = asks, None
+            best = max(best or (a, b, -1), (a, b, score), key=lambda pair: pair[2])
+        if best:
+            yield best
+
+    def pairs(rows, named=False):
         key, there, tables = None, [], None
         for gram, block, role, node, size, place, component, outside, bits in rows:
+            asks = ((gram, block, node),) if named else ()
             if (gram, block) != key:
                 key, there, tables = (gram, block), [], None
             if not role:
@@ -360,7 +382,7 @@ def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) ->
                     if min(size - place, m - at) >= need:
                         most = most_common_of_two(bits, size, their, m)
                         if most >= need:
-                            yield min(node, other), max(node, other), 1000 * most // need
+                            yield min(node, other), max(node, other), 1000 * most // need, *asks
                 continue
             if tables is None:
                 widths = {}
@@ -379,7 +401,7 @@ def _open_pairs(shared: DataFrame, components: DataFrame, members: DataFrame) ->
                 most = most_common(x, size, matrix[ok], sizes[ok])
                 need = -(-(size + sizes[ok]) * PERCENT // (100 + PERCENT))
                 for other, score in zip(nodes[ok][most >= need].tolist(), (1000 * most // need)[most >= need].tolist()):
-                    yield min(node, other), max(node, other), score
+                    yield min(node, other), max(node, other), score, *asks
 
     found = map_rows(met.select("gram", "block", "role", "node", "size", "place", "component", "outside", "bits"), run, "a long, b long, score long")
     return found.groupBy("a", "b").agg(F.max("score").alias("score"))
@@ -407,8 +429,8 @@ def classes(docs: DataFrame) -> DataFrame:
     set from the start; repeated rows and equal ids are documents of their own.
 
     A first round compares each set with a few others only: the hub and the neighbour that it
-    shares most of its shingles with; that joins groups of any size without their pairs. Then
-    all candidates that are still in different components are filtered, and those that pass
+    shares most of its shingles with, and others with the likeliest of a sample of its open
+    candidates; that joins groups of any size without their pairs. Then all candidates that are still in different components are filtered, and those that pass
     are compared: first the likeliest of each set, then all that are in different components
     still. So no link that would join two components is missed. Sets are named by 64-bit hashes.
     """
@@ -424,9 +446,14 @@ def classes(docs: DataFrame) -> DataFrame:
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_neighbours(shared))
     first = stored(first.distinct())
     links = verify(docs, members, first)
-    found = _open_pairs(shared, stored(connected(links)), members)
     # a pair that was verified once is settled
-    found = stored(found.join(first, ["a", "b"], "left_anti"))
+    tried = first
+    for _ in range(ROUNDS):
+        near = _likeliest(_open_pairs(shared, stored(connected(links)), members, sampled=True))
+        near = stored(near.join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.unionByName(verify(docs, members, near)), tried.unionByName(near)
+    found = _open_pairs(shared, stored(connected(links)), members)
+    found = stored(found.join(tried, ["a", "b"], "left_anti"))
     likeliest = stored(_likeliest(found))
     links = links.unionByName(verify(docs, members, likeliest))
     rest = _still_open(found, stored(connected(links))).join(likeliest, ["a", "b"], "left_anti")
