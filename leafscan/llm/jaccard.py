@@ -8,24 +8,26 @@ cannot reach the threshold, and each remaining pair is verified once, on the tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.llm.common import (
     BITS,
     DOCUMENT,
     attach,
+    drop_stored,
     join_counted,
     map_columns,
     map_rows,
     null_free,
     small_batches,
     stored,
+    storing,
     wanted_bits,
 )
 from leafscan.llm.graph import connected
@@ -43,7 +45,7 @@ LEAST_BYTES, MOST_BYTES = 16, 512
 # Neighbours of a set, in a random order of those that share a shingle, that it may first be compared with.
 NEIGHBOURS = 4
 # Rounds in which each set is compared with the likeliest of a sample.
-ROUNDS = 2
+ROUNDS = 1
 # Sets of one shingle that a task holds at once, and so few that they are compared one by one.
 HELD, FEW = 256, 8
 # Pairs with one common partner that are verified in one task.
@@ -421,6 +423,16 @@ def _still_open(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where("of_a <> of_b").select("a", "b")
 
 
+def _settled(spark: SparkSession, rows: Callable[[], DataFrame]) -> DataFrame:
+    """The rows as a table, without those that were stored on the way to it."""
+    paths: list[str] = []
+    with storing(paths):
+        found = rows()
+    out = stored(found)
+    drop_stored(spark, paths)
+    return out
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``(doc_id, digest, n_shingles, group)`` for every row of ``(doc_id, text)``.
 
@@ -444,22 +456,28 @@ def classes(docs: DataFrame) -> DataFrame:
     hubs = hubs.select(F.col("base").alias("gram"), F.lit(0).cast("long").alias("base"), "node", "size", "place")
     first = _first_pairs(shared).unionByName(_first_pairs(_shared(hubs)))
     first = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(_neighbours(shared))
-    first = stored(first.distinct())
-    links = verify(docs, members, first)
-    # a pair that was verified once is settled
-    tried = first
+    spark = docs.sparkSession
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return _settled(spark, lambda: verify(docs, members, pairs))
+
+    def open_pairs(sampled: bool) -> DataFrame:
+        # a pair that was verified once is settled
+        found = _open_pairs(shared, stored(connected(links)), members, sampled)
+        return (_likeliest(found) if sampled else found).join(tried, ["a", "b"], "left_anti")
+
+    tried = first = stored(first.distinct())
+    links = checked(first)
     for _ in range(ROUNDS):
-        near = _likeliest(_open_pairs(shared, stored(connected(links)), members, sampled=True))
-        near = stored(near.join(tried, ["a", "b"], "left_anti"))
-        links, tried = links.unionByName(verify(docs, members, near)), tried.unionByName(near)
-    found = _open_pairs(shared, stored(connected(links)), members)
-    found = stored(found.join(tried, ["a", "b"], "left_anti"))
+        near = _settled(spark, lambda: open_pairs(True))
+        links, tried = links.unionByName(checked(near)), tried.unionByName(near)
+    found = _settled(spark, lambda: open_pairs(False))
     likeliest = stored(_likeliest(found))
-    links = links.unionByName(verify(docs, members, likeliest))
+    links = links.unionByName(checked(likeliest))
     rest = _still_open(found, stored(connected(links))).join(likeliest, ["a", "b"], "left_anti")
     rest = stored(rest)
     if not rest.isEmpty():
-        links = links.unionByName(verify(docs, members, rest))
+        links = links.unionByName(checked(rest))
     groups = connected(links).withColumnRenamed("component", "group")
     joined = attach(members, groups, ["node"])
     return joined.select("doc_id", "digest", "n_shingles", F.coalesce("group", "node").alias("group"))
