@@ -1,5 +1,6 @@
 """Made-up pages around the published result rows."""
 
+# Names and descriptions of well-known pages.
 TITLES = {
     "systemd-socket-proxyd.8": "systemd-socket-proxyd - Bidirectionally proxy local sockets to another socket",
     "socket.7": "socket - Linux socket interface",

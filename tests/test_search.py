@@ -19,6 +19,7 @@ def names(result, block):
     return {r.name for r in result.collect() if r["pass"] == block}
 
 
+# Page names in the sessions that the next two tests follow.
 def test_golden_substring_search(small_index):
     result = S.search(small_index, "socket")
     assert names(result, 0) >= {
