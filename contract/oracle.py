@@ -269,6 +269,23 @@ ORACLE["block_status"] = " UNION ALL ".join(
 )
 
 # The batch: patterns with grams are scored, the others keep score 0.
+ORACLE["many_patterns"] = f"""
+WITH {PAGES}, {gram_tables("fts")},
+words AS (SELECT unnest(string_split(text, ' ')) AS word FROM benchmark),
+starts AS (SELECT left(word, 2) AS pattern FROM words UNION SELECT left(word, 3) FROM words),
+query AS (SELECT pattern, (ord(pattern[1]) + 256 * ord(pattern[2])
+    + CASE length(pattern) WHEN 3 THEN 65536 * ord(pattern[3]) ELSE 0 END)::BIGINT AS query_id
+  FROM starts WHERE regexp_full_match(pattern, '[a-z]{{2,3}}')),
+pieces AS (SELECT query_id, pattern AS gram FROM query WHERE length(pattern) = 3),
+{scored("pieces")},
+tested AS (SELECT query_id, row_id, id, name, description, length(pattern) < 3 AS whole,
+    contains(name, pattern) AS by_name, contains(content, pattern) AS by_content FROM query, fts),
+joined AS (SELECT tested.*, CASE WHEN whole THEN 0.0::DOUBLE ELSE score - 2e-13 END AS score
+  FROM tested LEFT JOIN scored USING (query_id, row_id) WHERE by_name OR by_content),
+hits AS (SELECT query_id, row_id, id, name, description, 0 AS pass, score FROM joined WHERE by_name
+  UNION ALL SELECT query_id, row_id, id, name, description, 1, score FROM joined WHERE by_content), {BLOCKS}
+SELECT query_id, name, description, pass, rank, score FROM blocks"""
+
 ORACLE["batch_search"] = f"""
 WITH {PAGES}, {gram_tables("fts")},
 items AS (SELECT item_id, item_id % 5 AS kind, split_part(text, ' ', 2) AS second, split_part(text, ' ', 3) AS third

@@ -17,6 +17,7 @@ from leafscan.functions.glob import (
     plain_needle,
     wrap_substring,
 )
+from leafscan.functions.needles import finder
 from leafscan.functions.regex import regex_match, tree_of
 from leafscan.operators.bm25 import idf_column, score_in_place
 from leafscan.operators.candidates import BROADCAST_ROWS, ROW_BYTES, SELECTIVE
@@ -28,6 +29,8 @@ from leafscan.sources.tables import Index, block
 
 # Patterns are scanned for this many at a time.
 SCAN_PATTERNS = 64
+# More plain needles than this are looked for by an automaton, in sets of about so many bytes.
+MANY_NEEDLES, NEEDLE_BYTES = 64, 4 << 20
 # A gram's postings and the queries that start from it meet in this many tasks when the
 # queries are too many to broadcast.
 SALTS = 32
@@ -187,16 +190,58 @@ def scan_tests(spark: SparkSession, chunk: list[Row]) -> list[Column]:
     return tests
 
 
+def _entries(column: str, place: int) -> Column:
+    """An array of query ids as the entries of a pass."""
+    return F.transform(column, lambda q: F.struct(q.alias("query_id"), F.lit(place).alias("pass")))
+
+
+def needle_scans(index: Index, plain: DataFrame, n_bytes: int) -> list[DataFrame]:
+    """Hits of ``(query_id, needle, terms)``, plain substrings of any number.
+
+    One scan looks for a whole set of needles by an automaton that is broadcast with them. A
+    set holds NEEDLE_BYTES or so, so the scans follow the size of the queries alone; sets are
+    dealt by query, so a needle that many queries share is divided among them. Patterns with
+    terms score their hits in the same task.
+    """
+    n_sets, scans = max(1, -(-n_bytes // NEEDLE_BYTES)), []
+    shown = ["row_id", "id", "name", "description"]
+    for i in range(n_sets):
+        chosen = plain.where(F.pmod(F.xxhash64("query_id"), F.lit(n_sets)) == i)
+        needles: dict[str, list[int]] = {}
+        for query_id, needle in chosen.select("query_id", "needle").collect():
+            needles.setdefault(needle, []).append(query_id)
+        if not needles:
+            continue
+        rows = index.fts.select(*shown, "content")
+        rows = rows.withColumn("found", finder(index.spark, needles)("name", "content"))
+        entries = F.concat(_entries("found.by_name", 0), _entries("found.by_content", 1))
+        hits = rows.select(*shown, "content", F.explode_outer(entries).alias("hit"))
+        hits = hits.where(F.col("hit").isNotNull()).select(*shown, "content", "hit.*")
+        scored = hits.join(F.broadcast(chosen.select("query_id", "terms")), "query_id")
+        score = score_in_place(F.col("terms"), F.col("name"), F.col("content"), index.average)
+        score = F.when(F.col("terms").isNotNull(), score).otherwise(F.lit(0.0))
+        scans.append(scored.select("query_id", *shown, "pass", score.alias("score")))
+    return scans
+
+
 def scanned_hits(index: Index, patterns: DataFrame) -> DataFrame:
-    """Hits of ``(query_id, pattern, is_re, terms)`` by scans of the texts.
+    """Hits of ``(query_id, pattern, is_re, needle, terms)`` by scans of the texts.
 
     These are regexes, globs without a gram and globs with common grams only: most texts
-    have to be read for them anyway. The driver compiles the patterns a chunk at a time;
-    each scan tests a whole chunk and hands on matches alone. Patterns with terms score
-    their hits in the same task, with the chunk's own terms sent along; others score 0.
+    have to be read for them anyway. Many plain needles go to ``needle_scans``. The driver
+    compiles the other patterns a chunk at a time; each scan tests a whole chunk and hands on
+    matches alone. Patterns with terms score their hits in the same task, with the chunk's own
+    terms sent along; others score 0.
     """
     spark, scans = index.spark, []
     shown = ["row_id", "id", "name", "description"]
+    patterns = patterns.checkpoint()
+    plain = F.coalesce("needle", F.lit("")) != ""
+    width = F.octet_length("needle") + F.lit(64) * (F.lit(1) + F.coalesce(F.size("terms"), F.lit(0)))
+    n_plain, n_bytes = patterns.where(plain).agg(F.count(F.lit(1)), F.sum(width)).first()
+    if n_plain > MANY_NEEDLES:
+        scans = needle_scans(index, patterns.where(plain).select("query_id", "needle", "terms"), n_bytes)
+        patterns = patterns.where(~plain)
     for scored in (False, True):
         source = patterns.where(F.col("terms").isNotNull() == scored).toLocalIterator()
         while chunk := list(islice(source, SCAN_PATTERNS)):
@@ -234,9 +279,9 @@ def search_batch(index: Index, queries: DataFrame, k: int = LIMIT) -> DataFrame:
     rare = F.col("df") * SELECTIVE <= index.n_rows
 
     plain = queries.select("query_id", "pattern", "is_re")
-    gramless = globs.where(F.size("grams") == 0).select("query_id")
-    unscored = plain.where("is_re").unionByName(plain.join(gramless, "query_id", "left_semi"))
-    common = plain.join(weighed.where(~rare).select("query_id", "terms"), "query_id")
+    gramless = plain.join(globs.where(F.size("grams") == 0).select("query_id", "needle"), "query_id")
+    unscored = plain.where("is_re").unionByName(gramless, allowMissingColumns=True)
+    common = plain.join(weighed.where(~rare).select("query_id", "needle", "terms"), "query_id")
     patterns = unscored.withColumn("terms", F.lit(None).cast(TERMS)).unionByName(common)
     hits = indexed_hits(index, weighed.where(rare)).unionByName(scanned_hits(index, patterns))
     return two_blocks(hits, k, ["query_id"])

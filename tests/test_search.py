@@ -196,6 +196,30 @@ def test_batch_against_brute_force(spark, bodies_index, monkeypatch, selective,
         assert ranking(got.get(query_id, [])) == want, pattern
 
 
+@pytest.mark.parametrize("n_bytes, n_scans", [(1 << 20, 1), (400, 2)])
+def test_many_needles_take_few_scans(spark, bodies_index, monkeypatch, n_bytes, n_scans):
+    """Needles with and without grams, with repeats, all by automata; the rest as ever."""
+    monkeypatch.setattr(batch, "SELECTIVE", 1 << 40)
+    monkeypatch.setattr(batch, "MANY_NEEDLES", 0)
+    monkeypatch.setattr(batch, "NEEDLE_BYTES", n_bytes)
+    made, scans = [], batch.needle_scans
+
+    def counted(*given):
+        found = scans(*given)
+        made.append(len(found))
+        return found
+
+    monkeypatch.setattr(batch, "needle_scans", counted)
+    patterns = [*QUERIES, *QUERIES, "", "e", "a", "s*e", "\u00e9", "\U0001f600"]
+    queries = spark.createDataFrame([(i, p, False) for i, p in enumerate(patterns)], "query_id long, pattern string, is_re boolean")
+    got = {}
+    for row in batch.search_batch(bodies_index, queries, k=4).collect():
+        got.setdefault(row["query_id"], []).append(row)
+    for query_id, pattern in enumerate(patterns):
+        assert ranking(got.get(query_id, [])) == brute_search(pattern, 4), pattern
+    assert len(made) == 1 and (made == [1] if n_scans == 1 else made[0] >= n_scans)
+
+
 def test_sql_functions_and_parameters(spark, small_index):
     sql.register_functions(spark)
     sql.register_tables(small_index)
