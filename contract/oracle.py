@@ -268,6 +268,10 @@ ORACLE["block_status"] = " UNION ALL ".join(
     for p in FLAGGED
 )
 
+ORACLE["merged_batches"] = f"""
+WITH {PAGES}, {gram_tables("fts")}
+SELECT 'page' AS part, path AS key, 1::BIGINT AS n FROM page UNION ALL SELECT 'gram', gram, df FROM gram_df"""
+
 # The batch: patterns with grams are scored, the others keep score 0.
 ORACLE["many_patterns"] = f"""
 WITH {PAGES}, {gram_tables("fts")},

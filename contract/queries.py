@@ -36,6 +36,7 @@ from leafscan.operators.pages import assign_ids, insert_pages, lookup_id, text_r
 from leafscan.plans import listing, sql
 from leafscan.plans.batch import compile_globs, glob_match_column, search_batch
 from leafscan.plans.build import build, ingest_texts
+from leafscan.plans.merge import merge_batches, remove_merged
 from leafscan.plans.search import found_any, search, status
 from leafscan.session import spread
 from leafscan.sources.files import decode_all, discover
@@ -434,6 +435,28 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sizes(index)
 
 
+def _merged(spark: SparkSession, sf_dir: str) -> Index:
+    """A catalogue of all documents, built language by language and merged."""
+    folder = new_folder(spark)
+    ensure_tables(spark, folder)
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    lang = F.coalesce("lang", F.lit(""))
+    for part in (lang == "en", lang == "de", ~lang.isin("en", "de")):
+        ingest_texts(spark, page_sources(documents.where(part)), folder)
+    index = merge_batches(spark, folder, ratio=float("inf"))
+    remove_merged(spark, folder)
+    return index
+
+
+@registered
+def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each gram and each path, from batches that were merged into one."""
+    index = _merged(spark, sf_dir)
+    pages = index.page.select(F.lit("page").alias("part"), F.col("path").alias("key"), F.lit(1).cast("long").alias("n"))
+    lists = index.gram_df.select(F.lit("gram").alias("part"), F.col("gram").alias("key"), F.col("df").alias("n"))
+    return pages.unionByName(lists)
+
+
 @registered
 def compressed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored texts, read back in place."""

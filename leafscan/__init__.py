@@ -8,6 +8,7 @@ from leafscan.operators.pages import assign_ids, insert_pages, lookup_id, text_r
 from leafscan.plans.batch import search_batch
 from leafscan.plans.build import build, ingest_texts
 from leafscan.plans.listing import aligned, count_pages, list_pages
+from leafscan.plans.merge import merge_batches, remove_merged
 from leafscan.plans.search import any_match, search
 from leafscan.sources.files import decode, discover
 from leafscan.sources.tables import ensure_tables, footprint, load_index
@@ -32,6 +33,8 @@ __all__ = [
     "list_pages",
     "load_index",
     "lookup_id",
+    "merge_batches",
+    "remove_merged",
     "search",
     "search_batch",
     "text_rows",

@@ -100,6 +100,18 @@ def numbered_texts(staged: DataFrame, keys: DataFrame) -> DataFrame:
     return found.select("key.row_id", "key.id", "text.name", "key.description", "text.content", "text.n_grams")
 
 
+def write_postings(spark: SparkSession, directory: str, batch: int, codec: str) -> None:
+    """The packed lists of a batch, and their document frequencies, from the texts it has stored."""
+
+    def written(table: str) -> DataFrame:
+        return spark.read.parquet(f"{table_path(directory, table)}/batch={batch}")
+
+    texts = spread(written("fts").select("row_id", "name", "content"), "row_id", by_range=True)
+    posted = packed_postings(texts).withColumn("bucket", bucket(F.col("gram")))
+    write_batch(posted, directory, "postings", batch, codec)
+    write_batch(packed_df(written("postings")), directory, "gram_df", batch, codec)
+
+
 def ingest_texts(
     spark: SparkSession,
     decoded: DataFrame,
@@ -166,13 +178,7 @@ def ingest_texts(
     texts = numbered_texts(good, keys).select("*", block("row_id"))
     write_batch(texts, directory, "fts", batch, codec, dealt=True)
 
-    def written(table: str) -> DataFrame:
-        return spark.read.parquet(f"{table_path(directory, table)}/batch={batch}")
-
-    texts = spread(written("fts").select("row_id", "name", "content"), "row_id", by_range=True)
-    posted = packed_postings(texts).withColumn("bucket", bucket(F.col("gram")))
-    write_batch(posted, directory, "postings", batch, codec)
-    write_batch(packed_df(written("postings")), directory, "gram_df", batch, codec)
+    write_postings(spark, directory, batch, codec)
 
     commit = (
         n_pages,
@@ -182,6 +188,7 @@ def ingest_texts(
         totals["raw_bytes"],
         index.max_id + n_pages,
         index.max_row_id + totals["n_rows"],
+        batch,
     )
     write_batch(spark.createDataFrame([commit], COMMITS).coalesce(1), directory, "commits", batch, codec)
     drop_path(spark, staged_path)

@@ -22,7 +22,8 @@ FTS = _schema(("row_id", L), ("id", L), ("name", S), ("description", S), ("conte
 # many they are, and their distances and counts in few bytes each.
 POSTINGS = _schema(("gram", S), ("first", L), ("n", L), ("packed", T.BinaryType()))
 GRAM_DF = _schema(("gram", S), ("df", L))
-# One row per finished ingest. It is written last, so it is also the commit mark.
+# One row per finished ingest or merge. It is written last, so it is also the commit mark.
+# The batch stands for itself and all batches from ``since`` on.
 COMMITS = _schema(
     ("n_pages", L),
     ("n_rows", L),
@@ -31,6 +32,7 @@ COMMITS = _schema(
     ("raw_bytes", L),
     ("max_id", L),
     ("max_row_id", L),
+    ("since", L),
 )
 RESULT = T.StructType(
     [

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from leafscan.schemas import BLOCK_ROWS, PARTITIONS, SLICE_ROWS, TABLES, stored
@@ -49,27 +51,45 @@ def ensure_tables(spark: SparkSession, directory: str) -> None:
         empty.write.mode("ignore").partitionBy(*keys).parquet(table_path(directory, table))
 
 
+def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return spark.read.schema(stored(name)).parquet(table_path(directory, name))
+
+
+def live_commits(spark: SparkSession, directory: str) -> list[Row]:
+    """Commits that no later one stands for, oldest first; one small row for each ingest or merge.
+
+    Catalogues from before there were merges have no ``since``.
+    """
+    commits = _table(spark, directory, "commits")
+    rows = commits.withColumn("since", F.coalesce("since", "batch")).collect()
+    live, covered = [], None
+    for row in sorted(rows, key=lambda row: row["batch"], reverse=True):
+        if covered is None or row["batch"] < covered:
+            live.append(row)
+            covered = row["since"]
+    return live[::-1]
+
+
+def in_batches(batches: list[int]) -> Column:
+    """Whether a row's batch is among these, as ranges that prune folders."""
+    ranges: list[list[int]] = []
+    for batch in sorted(batches):
+        if ranges and ranges[-1][1] == batch - 1:
+            ranges[-1][1] = batch
+        else:
+            ranges.append([batch, batch])
+    return reduce(or_, (F.col("batch").between(*ends) for ends in ranges), F.lit(False))
+
+
 def load_index(spark: SparkSession, directory: str) -> Index:
-    """Scan of the stored tables; rows of an unfinished ingest are not seen."""
-
-    def table(name: str) -> DataFrame:
-        return spark.read.schema(stored(name)).parquet(table_path(directory, name))
-
-    sums = ("n_pages", "n_rows", "n_grams", "n_dropped", "raw_bytes")
-    tops = ("batch", "max_id", "max_row_id")
-    last = (
-        table("commits")
-        .agg(
-            *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums),
-            *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in tops),
-        )
-        .first()
-        .asDict()
-    )
-    batch = last.pop("batch")
-    seen = F.col("batch") <= batch
-    names = ("page", "fts", "postings", "gram_df")
-    return Index(*(table(name).where(seen) for name in names), last_batch=batch, **last)
+    """Scan of the stored tables; rows of an unfinished ingest or merge are not seen, nor those
+    of batches that a merge has written again."""
+    live = live_commits(spark, directory)
+    sums = {name: sum(row[name] for row in live) for name in ("n_pages", "n_rows", "n_grams", "n_dropped", "raw_bytes")}
+    tops = {name: max((row[name] for row in live), default=0) for name in ("max_id", "max_row_id")}
+    batches = [row["batch"] for row in live]
+    tables = (_table(spark, directory, name).where(in_batches(batches)) for name in ("page", "fts", "postings", "gram_df"))
+    return Index(*tables, last_batch=max(batches, default=0), **sums, **tops)
 
 
 def block(key: str) -> Column:
@@ -114,6 +134,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def stored_batches(spark: SparkSession, directory: str, table: str) -> list[int]:
+    """Numbers of the batches a table has a folder for."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(directory, table))
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    names = [status.getPath().getName() for status in path.getFileSystem(conf).listStatus(path)]
+    return sorted(int(name.removeprefix("batch=")) for name in names if name.startswith("batch="))
+
+
 def footprint(spark: SparkSession, directory: str) -> DataFrame:
     """``(raw_bytes, stored_bytes, ratio)``: text put in against Parquet bytes kept.
 
