@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +93,36 @@ def write_page_files(documents: DataFrame, root: str) -> None:
     files = spread(documents, "doc_id").select(raw, section().alias("man"))
     writer = files.write.mode("overwrite").partitionBy("man").option("maxRecordsPerFile", 1)
     writer.option("compression", "gzip").text(root)
+
+
+# Files of write_named_files that are cut short, and those whose names Spark hides.
+CUT, UNDERSCORE, DOT = 5, 0, 1
+
+
+def write_named_files(documents: DataFrame, root: str) -> None:
+    """Every document as ``<root>/man<section>/<start><doc_id>.<section>.gz``, written by tasks.
+
+    Every seventh name starts with ``_``, another seventh with a dot; every eleventh file is cut
+    short. Each has a copy in a folder below, which is no page.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, name, raw, cut in zip(*(column.to_pylist() for column in batch.columns)):
+                data = gzip.compress(raw.encode(), 1, mtime=0)
+                for place in (folder, f"{folder}/k=v"):
+                    local = place.startswith("/")
+                    store, path = (fs.LocalFileSystem(), place) if local else fs.FileSystem.from_uri(place)
+                    store.create_dir(path, recursive=True)
+                    with store.open_output_stream(f"{path}/{name}", compression=None) as file:
+                        file.write(data[:-9] if cut else data)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    start = F.when(F.col("doc_id") % 7 == UNDERSCORE, "_").when(F.col("doc_id") % 7 == DOT, ".").otherwise("")
+    files = spread(documents, "doc_id").select(
+        F.concat(F.lit(f"{root}/man"), section()).alias("folder"),
+        F.concat(start, F.col("doc_id"), F.lit("."), section(), F.lit(".gz")).alias("name"),
+        page_source(F.substring_index("text", "\n", 1)).alias("raw"),
+        (F.col("doc_id") % 11 == CUT).alias("cut"),
+    )
+    files.where("raw IS NOT NULL").mapInArrow(write, "n long").agg(F.sum("n")).collect()

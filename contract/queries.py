@@ -17,6 +17,7 @@ from contract.corpus import (
     page_sources,
     table,
     word,
+    write_named_files,
     write_page_files,
 )
 from leafscan.functions.glob import glob_match, pattern_grams, wrap_substring
@@ -435,6 +436,36 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sizes(index)
 
 
+def _named(index: Index) -> DataFrame:
+    """Each page with its own text, and a row with the number of damaged files."""
+    fts = index.fts.select("id", F.md5("content").alias("digest"))
+    pages = index.page.join(fts, "id").select("name", "description", "digest", "section")
+    dropped = [("damaged", str(index.n_dropped), "", 0)]
+    return pages.unionByName(index.spark.createDataFrame(dropped, pages.schema))
+
+
+@registered
+def named_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of fixed names, some hidden and some damaged, built twice: each page with its text."""
+    root, folder = new_folder(spark), new_folder(spark)
+    write_named_files(table(spark, sf_dir, "documents"), root)
+    build(spark, [root, f"{root}/"], folder, derive=True)
+    return _named(build(spark, [root], folder, derive=True))
+
+
+@registered
+def named_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by stream: odd documents arrive first, then all; damaged ones count once."""
+    root, folder, progress = (new_folder(spark) for _ in range(3))
+    documents = table(spark, sf_dir, "documents")
+    write_named_files(documents.where("doc_id % 2 = 1"), root)
+    ingest_available(spark, [root], folder, progress)
+    write_named_files(documents.where("doc_id % 2 = 0"), root)
+    ingest_available(spark, [root], folder, progress)
+    ingest_available(spark, [root], folder, progress)
+    return _named(load_index(spark, folder))
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> Index:
     """A catalogue of all documents, built language by language and merged."""
     folder = new_folder(spark)

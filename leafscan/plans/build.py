@@ -14,13 +14,14 @@ from leafscan.functions.text import (
 )
 from leafscan.operators.grams import bucket, gram_count, packed_df, packed_postings
 from leafscan.operators.pages import assign_ids, first_pages
-from leafscan.schemas import COMMITS
+from leafscan.schemas import COMMITS, TABLES
 from leafscan.session import spread
 from leafscan.sources.files import decode_all, discover, named_files
 from leafscan.sources.tables import (
     Index,
     block,
     drop_path,
+    dropped_files,
     ensure_tables,
     load_index,
     table_path,
@@ -36,6 +37,8 @@ def extract(decoded: DataFrame, derive: bool = False) -> DataFrame:
     """``(path, name, description, section, last_modified, content)`` of decoded pages."""
     mtime = F.timestamp_seconds("mtime") if "mtime" in decoded.columns else None
     content = until_nul(plain_text(F.col("raw")))
+    # when the file was changed tells a damaged one from its successor
+    file_time = ["mtime"] if "mtime" in decoded.columns else []
     named = decoded.withColumn("content", content).withColumn("name", page_name(F.col("path")))
     section, modified = section_and_mtime(derive, F.col("name"), mtime)
     return named.select(
@@ -45,6 +48,7 @@ def extract(decoded: DataFrame, derive: bool = False) -> DataFrame:
         section.alias("section"),
         modified.alias("last_modified"),
         "content",
+        *file_time,
     )
 
 
@@ -58,24 +62,27 @@ def build(
 ) -> Index:
     """Read all page files under the roots into the catalogue; may be run again.
 
-    Known paths are skipped. With ``faithful`` they add another text row each time.
+    Known paths are skipped, and damaged files until they change. With ``faithful`` known paths
+    add another text row each time.
     """
     ensure_tables(spark, directory)
     files = discover(spark, roots)
     if not faithful:
-        files = unknown_files(files, load_index(spark, directory))
+        files = unknown_files(files, load_index(spark, directory), directory)
     return ingest_texts(spark, decode_all(files), directory, faithful, derive, codec)
 
 
-def unknown_files(files: DataFrame, index: Index) -> DataFrame:
-    """Files whose path the catalogue does not hold.
+def unknown_files(files: DataFrame, index: Index, directory: str) -> DataFrame:
+    """Files whose path the catalogue does not hold and that were not found damaged as they are.
 
-    The comparison uses paths alone. A few new files are then opened by name, so that
+    The comparison uses paths and times alone. A few new files are then opened by name, so that
     building again does not read the whole tree.
     """
-    if not index.n_pages:
+    if not index.last_batch:
         return files
-    fresh = files.select("path").join(index.page.select("path"), "path", "left_anti")
+    listed = files.select("path", F.unix_timestamp("modificationTime").alias("modified"))
+    listed = listed.join(dropped_files(index, directory), ["path", "modified"], "left_anti")
+    fresh = listed.select("path").join(index.page.select("path"), "path", "left_anti")
     few = [row["path"] for row in fresh.limit(NAMED_FILES + 1).collect()]
     if len(few) > NAMED_FILES:
         return files.join(fresh, "path", "left_semi")
@@ -104,7 +111,7 @@ def write_postings(spark: SparkSession, directory: str, batch: int, codec: str)
     """The packed lists of a batch, and their document frequencies, from the texts it has stored."""
 
     def written(table: str) -> DataFrame:
-        return spark.read.parquet(f"{table_path(directory, table)}/batch={batch}")
+        return spark.read.schema(TABLES[table]).parquet(f"{table_path(directory, table)}/batch={batch}")
 
     texts = spread(written("fts").select("row_id", "name", "content"), "row_id", by_range=True)
     posted = packed_postings(texts).withColumn("bucket", bucket(F.col("gram")))
@@ -123,7 +130,8 @@ def ingest_texts(
     """Add decoded pages ``(path, raw)`` as one batch.
 
     A path that comes twice is one page, and unless ``faithful`` a path that the catalogue
-    holds already is skipped. Every table gets the batch as a folder of its own and ``commits`` comes last: a run that dies
+    holds already is skipped. A page whose ``raw`` is null is damaged: it is recorded with the time
+    of its file (``mtime``, 0 if there is none) and counted once, also if nothing else is added. Every table gets the batch as a folder of its own and ``commits`` comes last: a run that dies
     before that leaves nothing visible, and the next run writes over it.
     """
     index = load_index(spark, directory)
@@ -150,8 +158,33 @@ def ingest_texts(
         F.coalesce(F.sum("n_grams"), F.lit(0)).alias("n_grams"),
         F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("raw_bytes"),
     ).first()
-    n_dropped = staged.where(F.col("n_bytes").isNull()).count()
+    modified = F.col("mtime") if "mtime" in staged.columns else F.lit(0).cast("long")
+    damaged = staged.where(F.col("n_bytes").isNull()).select("path", modified.alias("modified")).distinct()
+    damaged = damaged.join(dropped_files(index, directory), ["path", "modified"], "left_anti")
+    n_dropped = damaged.count()
+
+    def commit(n_pages: int) -> Index:
+        write_batch(damaged, directory, "dropped", batch, codec)
+        row = (
+            n_pages,
+            totals["n_rows"],
+            totals["n_grams"],
+            n_dropped,
+            totals["raw_bytes"],
+            index.max_id + n_pages,
+            index.max_row_id + totals["n_rows"],
+            batch,
+        )
+        write_batch(spark.createDataFrame([row], COMMITS).coalesce(1), directory, "commits", batch, codec)
+        drop_path(spark, staged_path)
+        return load_index(spark, directory)
+
     if not totals["n_rows"]:
+        if n_dropped:
+            # a run that died may have left folders under this number
+            for table in ("page", "fts", "postings", "gram_df"):
+                drop_path(spark, f"{table_path(directory, table)}/batch={batch}")
+            return commit(0)
         drop_path(spark, staged_path)
         return index
 
@@ -179,17 +212,4 @@ def ingest_texts(
     write_batch(texts, directory, "fts", batch, codec, dealt=True)
 
     write_postings(spark, directory, batch, codec)
-
-    commit = (
-        n_pages,
-        totals["n_rows"],
-        totals["n_grams"],
-        n_dropped,
-        totals["raw_bytes"],
-        index.max_id + n_pages,
-        index.max_row_id + totals["n_rows"],
-        batch,
-    )
-    write_batch(spark.createDataFrame([commit], COMMITS).coalesce(1), directory, "commits", batch, codec)
-    drop_path(spark, staged_path)
-    return load_index(spark, directory)
+    return commit(n_pages)

@@ -11,6 +11,8 @@ from leafscan.schemas import COMMITS, TABLES
 from leafscan.sources.tables import (
     Index,
     drop_path,
+    dropped_files,
+    ensure_tables,
     in_batches,
     live_commits,
     load_index,
@@ -44,6 +46,7 @@ def merge_batches(spark: SparkSession, directory: str, ratio: float = 1.0, codec
     The old folders stay for readers that have them open, until ``remove_merged``. As with an
     ingest, one writer at a time. An empty catalogue, or one batch, is left alone.
     """
+    ensure_tables(spark, directory)
     merged = worth_merging(live_commits(spark, directory), ratio)
     if len(merged) < 2:
         return load_index(spark, directory)
@@ -54,6 +57,7 @@ def merge_batches(spark: SparkSession, directory: str, ratio: float = 1.0, codec
         rows = getattr(index, table).where(chosen).drop("batch")
         write_batch(rows, directory, table, batch, codec)
     write_postings(spark, directory, batch, codec)
+    write_batch(dropped_files(index, directory).distinct(), directory, "dropped", batch, codec)
     commit = {name: sum(row[name] for row in merged) for name in ("n_pages", "n_rows", "n_grams", "n_dropped", "raw_bytes")}
     commit |= {name: max(row[name] for row in merged) for name in ("max_id", "max_row_id")}
     commit["since"] = min(row["since"] for row in merged)

@@ -22,6 +22,8 @@ FTS = _schema(("row_id", L), ("id", L), ("name", S), ("description", S), ("conte
 # many they are, and their distances and counts in few bytes each.
 POSTINGS = _schema(("gram", S), ("first", L), ("n", L), ("packed", T.BinaryType()))
 GRAM_DF = _schema(("gram", S), ("df", L))
+# Files that could not be decompressed, as they were when that was tried.
+DROPPED = _schema(("path", S), ("modified", L))
 # One row per finished ingest or merge. It is written last, so it is also the commit mark.
 # The batch stands for itself and all batches from ``since`` on.
 COMMITS = _schema(
@@ -50,9 +52,10 @@ PARTITIONS = {
     "fts": (("batch", L), ("block", L)),
     "postings": (("batch", L), ("bucket", I)),
     "gram_df": (("batch", L),),
+    "dropped": (("batch", L),),
     "commits": (("batch", L),),
 }
-TABLES = {"page": PAGE, "fts": FTS, "postings": POSTINGS, "gram_df": GRAM_DF, "commits": COMMITS}
+TABLES = {"page": PAGE, "fts": FTS, "postings": POSTINGS, "gram_df": GRAM_DF, "dropped": DROPPED, "commits": COMMITS}
 
 # Rows of page and fts are stored in blocks of consecutive keys, so that a join with a
 # handful of keys prunes to their blocks.

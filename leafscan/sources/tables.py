@@ -92,6 +92,15 @@ def load_index(spark: SparkSession, directory: str) -> Index:
     return Index(*tables, last_batch=max(batches, default=0), **sums, **tops)
 
 
+def dropped_files(index: Index, directory: str) -> DataFrame:
+    """``(path, modified)`` of the files found damaged, up to the last finished ingest.
+
+    What a merge has written again may come twice.
+    """
+    rows = _table(index.spark, directory, "dropped").where(F.col("batch") <= index.last_batch)
+    return rows.select("path", "modified")
+
+
 def block(key: str) -> Column:
     """Storage block of a page id or row id."""
     return (F.col(key) / BLOCK_ROWS).cast("long").alias("block")

@@ -38,7 +38,7 @@ def ingest_available(
 
     def add(files: DataFrame, _epoch: int) -> None:
         if not files.select("path").isEmpty():
-            fresh = unknown_files(files, load_index(files.sparkSession, directory))
+            fresh = unknown_files(files, load_index(files.sparkSession, directory), directory)
             ingest_texts(files.sparkSession, decode_all(fresh), directory)
 
     roots = distinct_roots(spark, roots)

@@ -1,4 +1,5 @@
 import gzip
+import os
 from pathlib import Path
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafscan.operators import pages as P
 from leafscan.plans.build import build, ingest_texts
+from leafscan.plans.merge import merge_batches, remove_merged
 from leafscan.sources import files, tables
 from leafscan.streaming.ingest import ingest_available
 
@@ -87,6 +89,26 @@ def test_build(spark, tree, tmp_path):
     assert size.raw_bytes == sum(len(row[3].encode()) for row in fts) and size.stored_bytes > 0
 
 
+def test_damaged_files_are_left_alone_until_they_change(spark, tree, tmp_path):
+    """A batch without a good file keeps its count; merging forgets none."""
+    first, folder = tree[0], str(tmp_path / "index")
+    assert build(spark, [str(first)], folder).n_dropped == 2
+    assert build(spark, [str(first)], folder).last_batch == 1
+    bad = first / "man1/bad.1.gz"
+    put(bad, b"bad still")
+    os.utime(bad, (1, 1))
+    index = build(spark, [str(first)], folder)
+    assert (index.last_batch, index.n_dropped, index.n_pages) == (2, 3, 7)
+    put(bad, gzip.compress(b"mended"))
+    index = build(spark, [str(first)], folder)
+    assert (index.last_batch, index.n_dropped, index.n_pages) == (3, 3, 8)
+    assert index.fts.where("content = 'mended'").count() == 1
+    index = merge_batches(spark, folder, float("inf"))
+    assert remove_merged(spark, folder) == 3
+    assert (index.n_dropped, index.n_rows) == (3, 8)
+    assert build(spark, [str(first)], folder).last_batch == 4
+
+
 @pytest.mark.parametrize("by_name", [1000, 0])
 def test_build_again_adds_only_what_is_new(spark, tree, tmp_path, monkeypatch, by_name):
     monkeypatch.setattr("leafscan.plans.build.NAMED_FILES", by_name)
