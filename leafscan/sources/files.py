@@ -6,7 +6,7 @@ import logging
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import pyarrow as pa
@@ -19,6 +19,8 @@ log = logging.getLogger(__name__)
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 # Decoded text handed back to Spark at once, in bytes.
 FLUSH = 32 << 20
+# Files of a folder's list handed back to Spark at once, and tasks for each core that open files.
+LISTED, READERS = 10_000, 4
 
 
 def _escaped(path: str) -> str:
@@ -70,18 +72,86 @@ def in_section(path: Column, root: str) -> Column:
 def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
     """``(path, modificationTime, length, content)`` of every ``man*/*gz`` under the roots.
 
-    Each path comes once, without a shuffle to make sure: the index of Spark's reader holds
-    a file once. Folders are listed without taking ``k=v`` for a partition; what lies deeper
-    is left out. Spark reads ``content`` only where it is selected.
+    Each path comes once, without a shuffle to make sure: a folder is listed by one task, and
+    the index of Spark's reader holds a file once. Folders are listed without taking ``k=v`` for
+    a partition; what lies deeper is left out. ``content`` is read only where it is selected.
     """
     roots = distinct_roots(spark, roots)
-    dirs = section_dirs(spark, roots)
+    own, other = _by_store(section_dirs(spark, roots))
+    found = _listed(spark, own)
+    if other:
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*gz").option("recursiveFileLookup", "true")
+        read = plain_path(reader.load([_escaped(path) for path in other]))
+        read = read.where(reduce(or_, (in_section(F.col("path"), root) for root in roots)))
+        found = found.unionByName(read).unionByName(_hidden_in(spark, other))
+    return found
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
+
+
+def _by_store(dirs: list[str]) -> tuple[list[str], list[str]]:
+    """Folders that Arrow can open, and those in stores that only Spark's readers know."""
+    own, other = [], []
+    for folder in dirs:
+        plain = re.sub("^file:(?://)?", "", folder)
+        try:
+            _store(plain)
+        except (pa.ArrowException, OSError):
+            other.append(folder)
+        else:
+            own.append(plain)
+    return own, other
+
+
+def _listed(spark: SparkSession, dirs: list[str], hidden: bool = False) -> DataFrame:
+    """The page files directly in the folders, with the columns of ``discover``; on request those
+    alone whose names Spark hides.
+
+    Tasks list the folders, and the files are dealt out anew, so that the driver holds no file
+    name and a task reads as many small files as come to it.
+    """
     if not dirs:
         return spark.createDataFrame([], BINARY)
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*gz").option("recursiveFileLookup", "true")
-    found = plain_path(reader.load([_escaped(path) for path in dirs]))
-    found = found.where(reduce(or_, (in_section(F.col("path"), root) for root in roots)))
-    return found.unionByName(hidden_files(spark, roots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (folder for batch in batches for folder in batch.column(0).to_pylist()):
+            store, place = _store(folder)
+            infos = store.get_file_info(fs.FileSelector(place))
+            # Spark leaves files without a byte out
+            infos = [info for info in infos if info.is_file and info.size and info.base_name.endswith("gz")]
+            infos = [info for info in infos if not hidden or _hidden(info.base_name)]
+            for i in range(0, len(infos), LISTED):
+                part = infos[i : i + LISTED]
+                columns = [
+                    pa.array([f"{folder}/{info.base_name}" for info in part], pa.string()),
+                    pa.array([info.mtime_ns // 1_000_000 for info in part], pa.int64()),
+                    pa.array([info.size for info in part], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "mtime", "length"])
+
+    folders = spark.createDataFrame(pa.table([pa.array(dirs, pa.string())], names=["folder"]))
+    files = folders.mapInArrow(run, "path string, mtime long, length long")
+    files = files.repartition(READERS * spark.sparkContext.defaultParallelism, "path")
+    return files.select("path", F.timestamp_millis("mtime").alias("modificationTime"), "length", _content("path").alias("content"))
+
+
+@lru_cache(maxsize=1024)
+def _store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    return _store(folder)
+
+
+def _content(path: str) -> Column:
+    """A file's bytes. Row by row, so that no batch holds many large files."""
+
+    def read(path: str) -> bytes:
+        folder, _, name = path.rpartition("/")
+        store, place = _store_of(folder)
+        with store.open_input_stream(f"{place}/{name}", compression=None) as file:
+            return file.read()
+
+    return F.udf(read, "binary", useArrow=False)(path)
 
 
 def _hidden(name: str) -> bool:
@@ -93,10 +163,17 @@ def _hidden(name: str) -> bool:
 def hidden_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """The page files whose names begin with ``_`` or ``.``, with the columns of ``discover``.
 
-    Spark's reader never lists them. Such names are few: the driver lists them, and tasks open them.
+    Spark's reader never lists them.
     """
+    own, other = _by_store(section_dirs(spark, roots))
+    found = _listed(spark, own, hidden=True)
+    return found.unionByName(_hidden_in(spark, other)) if other else found
+
+
+def _hidden_in(spark: SparkSession, dirs: list[str]) -> DataFrame:
+    """Those of folders that tasks cannot list: the driver lists them, and tasks open them."""
     path_of, conf, found = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf(), []
-    for folder in section_dirs(spark, roots):
+    for folder in dirs:
         pattern = path_of(f"{_escaped(folder)}/[._]*gz")
         try:
             found += pattern.getFileSystem(conf).globStatus(pattern) or []
@@ -179,8 +256,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode_all(files: DataFrame) -> DataFrame:
-    """``(path, raw, mtime)`` for every file; ``raw`` is NULL where decompression failed."""
+    """``(path, raw, mtime)`` for every file; ``raw`` is NULL where decompression failed.
+
+    Spark's reader puts few small files into a task; a task here takes those of many.
+    """
     read = files.select("path", F.unix_timestamp("modificationTime").alias("mtime"), "content")
+    read = read.coalesce(READERS * files.sparkSession.sparkContext.defaultParallelism)
     return read.mapInArrow(_decode, "path string, raw string, mtime long")
 
 

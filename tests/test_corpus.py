@@ -2,7 +2,7 @@ import gzip
 from pathlib import Path
 
 from contract.corpus import write_named_files, write_page_files
-from leafscan.sources.files import discover
+from leafscan.sources.files import READERS, discover, hidden_files
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 ROWS = [(1, "one\nmore", "en", "s"), (1, "one\nmore", "en", "s"), (9, "nine", None, "s"), (None, "none", "en", "s"), (2, None, "en", "s")]
@@ -31,3 +31,16 @@ def test_named_files(spark, tmp_path):
     write_named_files(spark.createDataFrame([(3, "three", "en", "s"), (4, None, "en", "s")], SCHEMA), str(tmp_path))
     names = sorted(path.relative_to(tmp_path).as_posix() for path in tmp_path.rglob("*gz"))
     assert names == ["man4/3.4.gz", "man4/k=v/3.4.gz"]
+
+
+def test_driver_lists_no_files(spark, tmp_path, monkeypatch):
+    """Files of stores that tasks can open never come to the driver, hidden ones included."""
+    rows = [(i, f"text {i}", "en", "s") for i in range(40)]
+    write_named_files(spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    monkeypatch.setattr("leafscan.sources.files._opened", None)
+    found = discover(spark, [str(tmp_path), f"{tmp_path}/", "/absent"])
+    assert found.select("path").distinct().count() == found.count() == len(rows)
+    assert not found.select("path").inputFiles()
+    assert found.rdd.getNumPartitions() <= READERS * spark.sparkContext.defaultParallelism
+    assert hidden_files(spark, [str(tmp_path)]).count() == sum(i % 7 < 2 for i in range(40))
+    assert found.where("octet_length(content) <> length").count() == 0
