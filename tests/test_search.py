@@ -237,3 +237,22 @@ def test_search_prunes_and_pushes(small_index, monkeypatch):
     assert "StringContains(content,socket)" in plan and "WindowGroupLimit" in plan
     assert "In(gram, [" in plan and "bucket" in plan.split("PartitionFilters")[-1]
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_needle_scans_score_without_reading_texts_again(spark, small_index, monkeypatch):
+    """One hit for each row of a query id, scored as a single search scores it."""
+    from leafscan.plans import batch
+    from leafscan.plans.search import search
+
+    patterns = ["socket", "ock", "the", "so", "aaa"]
+    rows = [(i, pattern, False) for i, pattern in enumerate(patterns)]
+    queries = spark.createDataFrame(rows, "query_id long, pattern string, is_re boolean")
+    monkeypatch.setattr(batch, "MANY_NEEDLES", 0)
+    monkeypatch.setattr(batch, "SELECTIVE", 1 << 40)
+    monkeypatch.setattr(batch, "score_in_place", None)
+    found = {}
+    for row in batch.search_batch(small_index, queries).collect():
+        found.setdefault(row.query_id, set()).add(tuple(row)[1:])
+    for number, pattern, _ in rows:
+        assert found.get(number, set()) == set(map(tuple, search(small_index, pattern).collect())), pattern
+    assert any(score < 0 for hits in found.values() for *_, score in hits)
