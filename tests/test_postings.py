@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from leafscan.functions import needles
 from leafscan.operators import grams as G
 from leafscan.plans import batch
 from leafscan.plans.build import ingest_texts, numbered_texts
@@ -96,3 +98,27 @@ def test_pairs_in_parts_give_the_same_hits(spark, index, monkeypatch):
     plan = batch.indexed_hits(built, weighed, most=9)._jdf.queryExecution().executedPlan().toString()
     before = plan.split("Scan parquet")[0]
     assert "SortMergeJoin" not in before and "hashpartitioning(row_id" not in before
+
+
+def test_few_texts_are_strings_at_once():
+    """A batch of any size is read in pieces, and so is one with a single long text."""
+    batch = pa.RecordBatch.from_pydict({"row_id": list(range(4000)), "name": ["n"] * 4000, "content": ["text " * 200] * 4000})
+    sizes = [piece.num_rows for piece in G.pieces(batch)]
+    assert sum(sizes) == 4000 and max(sizes) * 1000 < 2 * G.READ
+    assert [row[0] for row in G._counted(batch)] == list(range(4000))
+    long = pa.RecordBatch.from_pydict({"row_id": [1], "name": [None], "content": ["abc" * G.READ]})
+    (row,) = G._counted(long)
+    assert row[2].tolist() == [G.READ, G.READ - 1, G.READ - 1] and row[3] == 3 * G.READ - 2
+    assert [piece.num_rows for piece in G.pieces(batch.slice(0, 0))] == []
+
+
+def test_needles_are_looked_for_in_pieces(spark, monkeypatch):
+    """Hits of a batch leave in pieces that do not grow with it."""
+    found = needles.scored_finder(spark, {"ab": [1, 2], "c": [3]}, {1: [None], 2: [[("abc", 2.0)]], 3: [None]}, 5.0)
+    texts = pa.array(["xabc" * 300, None, "", "c"] * 1000)
+    columns = (texts, texts, texts, texts, pa.array([1198, 0, 0, 0] * 1000))
+    out = list(found.func(iter([columns])))
+    assert len(out) > 3 and max(map(len, out)) < 4000
+    rows = [row for piece in out for row in piece.to_pylist()]
+    assert len(rows) == 4000 and sorted(rows[0]["by_content"]) == [1, 2, 3] and rows[1]["by_name"] == [] == rows[2]["by_name"]
+    assert rows[3]["by_name"] == [3] and rows[3]["name_scores"] == [0.0] and min(rows[0]["content_scores"]) < 0
