@@ -67,3 +67,25 @@ def test_fold_keeps_length_and_context(spark):
     assert evaluate(spark, values, text.fold) == ["σασ", "ix", "àé", "straße"]
     lengths = evaluate(spark, values, lambda c: F.char_length(text.fold(c)))
     assert lengths == [len(v) for v in values]
+
+
+def test_plain_text_leaves_steps_out(spark):
+    """Any mix of the characters that steps start from, and bytes that are no UTF-8."""
+    parts = ("a\b", "<b>x</b>", "<!-- & \b -->", "&lt;i&gt;", "é\n", "<p>", "&amp;lt;")
+    sources = [a + b + c for a in ("", *parts) for b in ("", *parts) for c in ("q", *parts)]
+
+    def all_steps(col):
+        out = F.replace(F.regexp_replace(col, text.OVERSTRIKE, ""), F.lit("\b"), F.lit(""))
+        for pattern, put in ((text.HIDDEN, ""), (text.DOCTYPE, ""), (text.BLOCK, "\n"), (text.INLINE, "")):
+            out = F.regexp_replace(out, pattern, put)
+        for entity, char in text.ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return out
+
+    rows = spark.createDataFrame([(source,) for source in [*sources, None]], "v string")
+    broken = spark.sql("SELECT CAST(x'61ff62' AS STRING) AS v")
+    both = rows.unionByName(broken).select("v", text.plain_text(F.col("v")).alias("a"), all_steps(F.col("v")).alias("b"))
+    assert [(r.v, r.a) for r in both.collect() if r.a != r.b] == []
+    # steps whose character is missing are not run: a regex for each character of a text is dear
+    plan = rows.select(text.plain_text(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("regexp_replace") and "Contains(v" in plan
