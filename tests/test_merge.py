@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from leafscan.operators import grams as G
 from leafscan.plans import search as S
 from leafscan.plans.build import ingest_texts
 from leafscan.plans.merge import merge_batches, remove_merged, worth_merging
@@ -112,3 +113,28 @@ def test_commits_from_before_merges(spark, many):
         part = spark.createDataFrame([row], old.schema).drop("batch").coalesce(1)
         part.write.mode("overwrite").parquet(f"{many}/commits/batch={row['batch']}")
     assert results(tables.load_index(spark, many)) == wanted
+
+
+def test_merge_joins_lists_without_reading_texts(spark, many, monkeypatch):
+    """Every posting once, in fewer lists; lists of interleaved rows and of many pieces too."""
+    before = tables.load_index(spark, many)
+
+    def entries(index):
+        return sorted(map(tuple, G.unpacked(index.postings, "gram").collect()))
+
+    wanted, n_lists = entries(before), before.postings.count()
+
+    def die(*_):
+        raise AssertionError("the texts were read for their grams")
+
+    monkeypatch.setattr("leafscan.plans.build.packed_postings", die)
+    index = merge_batches(spark, many, math.inf)
+    assert entries(index) == wanted and index.postings.count() < n_lists
+    rows = [(i, "abcab" * (i % 5), "xabc" * (i % 3)) for i in range(60)]
+    texts = spark.createDataFrame(rows, "row_id long, name string, content string")
+    lists = G.packed_postings(texts.where("row_id % 2 = 0").coalesce(1))
+    lists = lists.unionByName(G.packed_postings(texts.where("row_id % 2 = 1").coalesce(1)))
+    for flush in (1, 50, 1 << 18):
+        monkeypatch.setattr(G, "FLUSH", flush)
+        joined = G.joined_lists(lists.coalesce(1).sortWithinPartitions("gram", "first"))
+        assert sorted(map(tuple, G.unpacked(joined, "gram").collect())) == sorted(map(tuple, G.unpacked(lists, "gram").collect()))
