@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from operator import or_
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 log = logging.getLogger(__name__)
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
+STATED = "path string, mtime long, length long"
 # Decoded text handed back to Spark at once, in bytes.
 FLUSH = 32 << 20
 # Files of a folder's list handed back to Spark at once, and tasks for each core that open files.
@@ -77,7 +78,7 @@ def discover(spark: SparkSession, roots: list[str]) -> DataFrame:
     a partition; what lies deeper is left out. ``content`` is read only where it is selected.
     """
     roots = distinct_roots(spark, roots)
-    own, other = _by_store(section_dirs(spark, roots))
+    own, other = by_store(section_dirs(spark, roots))
     found = _listed(spark, own)
     if other:
         reader = spark.read.format("binaryFile").option("pathGlobFilter", "*gz").option("recursiveFileLookup", "true")
@@ -91,7 +92,7 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
 
 
-def _by_store(dirs: list[str]) -> tuple[list[str], list[str]]:
+def by_store(dirs: list[str]) -> tuple[list[str], list[str]]:
     """Folders that Arrow can open, and those in stores that only Spark's readers know."""
     own, other = [], []
     for folder in dirs:
@@ -105,9 +106,9 @@ def _by_store(dirs: list[str]) -> tuple[list[str], list[str]]:
     return own, other
 
 
-def _listed(spark: SparkSession, dirs: list[str], hidden: bool = False) -> DataFrame:
+def _listed(spark: SparkSession, dirs: list[str], wanted: Callable[[str], bool] | None = None) -> DataFrame:
     """The page files directly in the folders, with the columns of ``discover``; on request those
-    alone whose names Spark hides.
+    alone whose names are wanted.
 
     Tasks list the folders, and the files are dealt out anew, so that the driver holds no file
     name and a task reads as many small files as come to it.
@@ -121,22 +122,56 @@ def _listed(spark: SparkSession, dirs: list[str], hidden: bool = False) -> DataF
             infos = store.get_file_info(fs.FileSelector(place))
             # Spark leaves files without a byte out
             infos = [info for info in infos if info.is_file and info.size and info.base_name.endswith("gz")]
-            infos = [info for info in infos if not hidden or _hidden(info.base_name)]
+            infos = [info for info in infos if not wanted or wanted(info.base_name)]
             for i in range(0, len(infos), LISTED):
                 part = infos[i : i + LISTED]
-                columns = [
-                    pa.array([f"{folder}/{info.base_name}" for info in part], pa.string()),
-                    pa.array([info.mtime_ns // 1_000_000 for info in part], pa.int64()),
-                    pa.array([info.size for info in part], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "mtime", "length"])
+                yield _stated([f"{folder}/{info.base_name}" for info in part], part)
 
     folders = spark.createDataFrame(pa.table([pa.array(dirs, pa.string())], names=["folder"]))
-    files = folders.mapInArrow(run, "path string, mtime long, length long")
-    files = files.repartition(READERS * spark.sparkContext.defaultParallelism, "path")
+    return _dealt(folders.mapInArrow(run, STATED))
+
+
+def _stated(paths: list[str], infos: list[fs.FileInfo]) -> pa.RecordBatch:
+    columns = [
+        pa.array(paths, pa.string()),
+        pa.array([info.mtime_ns // 1_000_000 for info in infos], pa.int64()),
+        pa.array([info.size for info in infos], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "mtime", "length"])
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files ``(path, mtime, length)`` dealt out to the tasks that open them, with the columns of ``discover``."""
+    files = files.repartition(READERS * files.sparkSession.sparkContext.defaultParallelism, "path")
     return files.select("path", F.timestamp_millis("mtime").alias("modificationTime"), "length", _content("path").alias("content"))
 
 
+def visible_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The page files that Spark's file index would list, with the columns of ``discover``, of
+    roots that Arrow can open."""
+    own, _ = by_store(section_dirs(spark, roots))
+    return _listed(spark, own, lambda name: not _hidden(name))
+
+
+def files_at(paths: DataFrame) -> DataFrame:
+    """Files of these paths as they are now, with the columns of ``discover``, where Arrow can open
+    them; those that went or lost all bytes since are left out, as Spark's reader does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, infos = [], []
+            for path in batch.column(0).to_pylist():
+                folder, _, name = path.rpartition("/")
+                store, place = _store_of(folder)
+                info = store.get_file_info(f"{place}/{name}")
+                if info.is_file and info.size:
+                    known.append(path)
+                    infos.append(info)
+            yield _stated(known, infos)
+
+    return _dealt(paths.select("path").mapInArrow(run, STATED))
+
+
 @lru_cache(maxsize=1024)
 def _store_of(folder: str) -> tuple[fs.FileSystem, str]:
     return _store(folder)
@@ -165,8 +200,8 @@ def hidden_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
     Spark's reader never lists them.
     """
-    own, other = _by_store(section_dirs(spark, roots))
-    found = _listed(spark, own, hidden=True)
+    own, other = by_store(section_dirs(spark, roots))
+    found = _listed(spark, own, _hidden)
     return found.unionByName(_hidden_in(spark, other)) if other else found
 
 
@@ -191,8 +226,8 @@ def _opened(spark: SparkSession, statuses: list) -> DataFrame:
     ]
     if not rows:
         return spark.createDataFrame([], BINARY)
-    listed = plain_path(spark.createDataFrame(rows, "path string, mtime long, length long"))
-    read = listed.mapInArrow(_read, "path string, mtime long, length long, content binary")
+    listed = plain_path(spark.createDataFrame(rows, STATED))
+    read = listed.mapInArrow(_read, f"{STATED}, content binary")
     return read.select("path", F.timestamp_millis("mtime").alias("modificationTime"), "length", "content")
 
 
