@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from contract.corpus import write_named_files
 from leafscan.schemas import BUCKETS
 from leafscan.sources import tables
 from leafscan.sources.files import READERS
@@ -72,6 +73,21 @@ def test_many_files_are_added_in_parts_oldest_first(spark, tmp_path):
     ]
 
 
+def test_copies_below_sections_are_never_found(spark, tmp_path):
+    """A stream of files holds the copies in deeper folders as well and reads their states with the others."""
+    root, folder, progress = (str(tmp_path / name) for name in ("root", "index", "progress"))
+    schema = "doc_id long, text string, lang string, source string"
+    for start in (0, 12):
+        rows = [(i, f"text {i}", "en", "s") for i in range(start, start + 12)]
+        write_named_files(spark.createDataFrame(rows, schema), root)
+        ingest_available(spark, [root], folder, progress)
+    # those of 5 and 16 are damaged; 0, 1, 7, 8, 14, 15, 21 and 22 are hidden
+    index = tables.load_index(spark, folder)
+    assert (index.n_pages, index.n_dropped) == (22, 2)
+    found = [row["path"] for row in spark.read.parquet(f"{progress}/found").collect()]
+    assert sorted(int(path.rsplit("/")[-1].split(".")[0]) for path in found) == [i for i in range(24) if i % 7 > 1]
+
+
 def test_old_files_are_left_out_after_the_first_run(spark, tmp_path):
     root, folder, progress = tmp_path / "root", str(tmp_path / "index"), str(tmp_path / "progress")
     put(root / "man1/old.1.gz", "old", 1_000_000)
